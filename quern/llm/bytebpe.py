@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from quern.llm.common import arrow_map, batch_of, texts_of
+from quern.llm.common import arrow_map, batch_of, blocks, texts_of
 
 #: Distinct pieces that a worker keeps; beyond it the table starts anew.
 PIECES_KEPT = 600_000
@@ -90,27 +90,35 @@ class ByteBPE:
                 held = []
         yield held
 
-    def learn(self, new: set[str]) -> None:
-        """Encodes pieces by the library, holds them against the ranks and keeps them."""
-        pieces = [p for p in new if p not in self.kept]
-        if len(self.kept) + len(pieces) > PIECES_KEPT:
-            self.kept, pieces = {}, list(new)
+    def _learn(self, distinct: set[str]) -> None:
+        """Encodes new pieces by the library, holds them against the ranks and keeps them."""
+        new = [p for p in distinct if p not in self.kept]
+        if len(self.kept) + len(new) > PIECES_KEPT:
+            self.kept, new = {}, list(distinct)
         kept, by_rank, pack = self.kept, self.exact._core_bpe.encode_single_piece, [struct.Struct(f"<{n}I").pack for n in range(64)]
-        for piece, got in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
+        for piece, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             ids = got.ids
             if len(ids) > 1 and ids != (ranked := by_rank(piece.encode())):
                 ids = ranked
             kept[piece] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for pieces in self.pieces(text):
-            if not self.kept.keys() >= (distinct := set(pieces)):
-                self.learn(distinct)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for a, b in blocks(texts):
+            if b - a == 1 and len(texts[a]) > SPLIT_CHARS:  # one very long text, piece by piece
+                ids = []
+                for pieces in self.pieces(texts[a]):
+                    self._learn(set(pieces))
+                    kept = self.kept
+                    ids.append(b"".join([kept[p] for p in pieces]))
+                out.append(b"".join(ids))
+                continue
+            split = [next(self.pieces(t)) for t in texts[a:b]]
+            self._learn(set().union(*split))
             kept = self.kept
-            out.append(b"".join([kept[p] for p in pieces]))
-        return b"".join(out)
+            out += [b"".join([kept[p] for p in pieces]) for pieces in split]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for; a token may begin or end inside a character."""
@@ -139,7 +147,7 @@ def encode_texts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", te
         bpe, many = codec(path, pattern), pa.list_(pa.int32())
         for batch in batches:
             texts = texts_of(batch, text)
-            ids = [bpe.encode(t) for t in texts]
+            ids = bpe.encode_all(texts)
             spans = [bpe.offsets(t, i) for t, i in zip(texts, ids)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([np.frombuffer(i, "<i4") for i in ids], many), pa.array([s for s, _ in spans], many), pa.array([e for _, e in spans], many)], names=[key, "ids", "starts", "ends"])
 
@@ -173,7 +181,7 @@ def token_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            ids = [bpe.encode(t) for t in texts_of(batch, text)]
+            ids = bpe.encode_all(texts_of(batch, text))
             yield batch_of(fields, **{key: batch.column(key)}, n_tokens=[len(i) // 4 for i in ids], ids_sha256=[hashlib.sha256(i).hexdigest() for i in ids], decoded_sha256=[hashlib.sha256(bpe.decode(i)).hexdigest() for i in ids])
 
     return arrow_map(df.select(key, text), run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
