@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -60,3 +61,11 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 def crc32_is(column: str, modulus: int, rest: int) -> Any:
     """Is crc32 of the column as text, modulo ``modulus``, equal to ``rest``? Null ids are never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet under the shared folder and read again."""
+    ensure_checkpoints(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

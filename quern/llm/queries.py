@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bytebpe, media, packing, simhash
-from quern.llm.common import read_table
+from quern.llm import bytebpe, langid, media, packing, quality, simhash
+from quern.llm.common import crc32_is, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), crc32_is("doc_id", 4, 2)
+    return langid.identify(docs, langid.fit(docs.filter(~held_out)), held_out)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), crc32_is("doc_id", 5, 0)
+    return quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels"), ~held_out), held_out)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +39,6 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_byte_bpe, op7_simhash, op8_best_fit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op3_byte_bpe, op4_language_id, op5_quality, op7_simhash, op8_best_fit)}
 
 ORACLE_SQL: dict[str, str] = {}
