@@ -1,11 +1,56 @@
-"""The corpus pipeline: stages that each take and give documents as Parquet."""
+"""The corpus pipeline: quality, language, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
+kept. All but the last return the columns of documents; their result is written as
+Parquet and read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import langid, packing, quality, simhash
+from quern.llm.common import crc32_is, read_table, written
+
+#: Least language score with which a document stays; texts without a letter go.
+LEAST_LANGUAGE_SCORE = 0.2
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine, fitted on their labelled rows, scores 0.3 or more."""
+    machine = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~crc32_is("doc_id", 5, 0))
+    return quality.keep_good(docs, machine)
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is learned from these documents."""
+    return langid.keep_identified(docs, langid.fit(docs.filter(~crc32_is("doc_id", 4, 2))), LEAST_LANGUAGE_SCORE)
+
+
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group that links of near fingerprints join."""
+    return simhash.first_of_groups(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", by_quality),
+    ("language", by_language),
+    ("near_duplicates", first_of_near_duplicates),
+    ("packing", packed),
+]
 
+#: No stage but the last could be put in SQL; tests/llm holds the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
