@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bytebpe, chat, langid, media, packing, quality, simhash, urlrules
-from quern.llm.common import crc32_is, read_table
+from quern.llm import bytebpe, chat, ctph, langid, media, packing, quality, simhash, urlrules, warc
+from quern.llm.common import crc32_is, read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +56,16 @@ def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op2_chat, op3_byte_bpe, op4_language_id, op5_quality, op6_url_rules, op7_simhash, op8_best_fit)}
+def op9_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctph.edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(warc.write_archives(read_table(spark, sf_dir, "pages")), "warc")
+    return warc.read_records(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media, op2_chat, op3_byte_bpe, op4_language_id, op5_quality, op6_url_rules, op7_simhash, op8_best_fit, op9_ctph, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": r"""
@@ -90,4 +99,12 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN fit USING (n)
     """,
+    "op10_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+             q AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
 }
