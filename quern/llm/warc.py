@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import arrow_map
 
-SEGMENT_BYTES = 64 * 1024
+SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 16 * 1024
 ARCHIVE_BYTES = 4 * 1024 * 1024
 REVISIT_BYTES = 1000
