@@ -36,9 +36,8 @@ def verdicts(block: Column) -> Column:
     """map of rN to verdict from ``- rN: verdict`` lines; blank ones are left out, of repeated ones the last counts."""
     lines = F.regexp_extract_all(block, F.lit(r"(?m)^- (r\d+:[ \t]*[^\n]*)"), F.lit(1))
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^(r\d+)", 1).alias("k"), _word(F.regexp_extract(x, r"^r\d+:[ \t]*(.*)$", 1), list(VERDICTS)).alias("v")))
-    filled = F.filter(pairs, lambda p: p["v"].isNotNull())
-    last = F.filter(filled, lambda p, i: ~F.exists(F.slice(filled, i + 2, F.size(filled)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    put = lambda m, p: F.when(p["v"].isNull(), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])))
+    return F.aggregate(pairs, F.expr("cast(map() as map<string, string>)"), put)
 
 
 def fields(block: Column, name: str) -> Column:
@@ -116,8 +115,10 @@ def is_incomplete(rows: DataFrame) -> Column:
 
 def summary(records: DataFrame) -> DataFrame:
     """(kind, value, n): files in all, completed and incomplete; and of the completed, counts by verdict and by routing."""
-    totals = records.agg(F.count("*").alias("total"), F.count_if(~F.col("incomplete")).alias("completed"), F.count_if("incomplete").alias("incomplete"))
-    totals = totals.select(F.explode(F.array(*[F.struct(F.lit("files").alias("kind"), F.lit(c).alias("value"), F.col(c).alias("n")) for c in ("total", "completed", "incomplete")])).alias("x")).select("x.*")
-    done = records.filter(~F.col("incomplete"))
-    counted = [done.groupBy(F.lit(kind).alias("kind"), F.coalesce(c, F.lit(BLANK)).alias("value")).agg(F.count("*").alias("n")) for kind, c in (("overall", "overall_verdict"), ("routing", "routing"))]
-    return totals.unionByName(counted[0]).unionByName(counted[1])
+    entry = lambda kind, value, n: F.struct(F.lit(kind).alias("kind"), value.alias("value"), n.cast("long").alias("n"))
+    done = ~F.col("incomplete")
+    told = [entry("files", F.lit("total"), F.lit(1)), entry("files", F.lit("completed"), done), entry("files", F.lit("incomplete"), ~done)]
+    told += [entry(kind, F.coalesce(c, F.lit(BLANK)), F.when(done, 1)) for kind, c in (("overall", "overall_verdict"), ("routing", "routing"))]
+    none = records.sparkSession.range(1).select(F.explode(F.array(*[entry("files", F.lit(x), F.lit(0)) for x in ("total", "completed", "incomplete")])).alias("x"))
+    rows = records.select(F.explode(F.array(*told)).alias("x")).unionByName(none).select("x.*")
+    return rows.filter("n is not null").groupBy("kind", "value").agg(F.sum("n").alias("n"))

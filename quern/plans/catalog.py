@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -86,6 +86,11 @@ def emb_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ranking -----------------------------------------------------------------------
 
 
+def score() -> Column:
+    """The cosine to four digits; it has six, so a shift far below them settles halves alike in every engine."""
+    return F.round(F.col("cosine") + 1e-8, 4).alias("score")
+
+
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
     rows = docs.join(vectors, docs.doc_id == vectors.vec_id)
@@ -185,11 +190,11 @@ def lex_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranks(asked, chunk_table(spark, sf_dir)).select("query_id", "pos", F.col("lex_rank").cast("long").alias("lex_rank"), F.array_join("matched", " ").alias("matched"))
 
 
-_SHOWN = "query_id, CAST(rank AS INTEGER) AS rank, pos, round(cosine, 4) AS score, CASE WHEN NOT disable_lexical AND len(matched) > 0 THEN array_to_string(matched, ' ') END AS matched"
+_SHOWN = "query_id, CAST(rank AS INTEGER) AS rank, pos, round(cosine + 1e-8, 4) AS score, CASE WHEN NOT disable_lexical AND len(matched) > 0 THEN array_to_string(matched, ' ') END AS matched"
 
 
 def _shown_top(rows: DataFrame) -> DataFrame:
-    return rows.select("query_id", "rank", "pos", F.round("cosine", 4).alias("score"), F.array_join("matched", " ").alias("matched"))
+    return rows.select("query_id", "rank", "pos", score(), F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"{_TOP} SELECT {_SHOWN} FROM t WHERE rank <= top_k AND NOT disable_lexical")
@@ -209,11 +214,11 @@ def rank_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_top(ranking.rank(query_table(spark, sf_dir), chunk_table(spark, sf_dir)))
 
 
-@query(f"{_TOP} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(cosine, 4) AS score, coalesce(url, '') AS url, coalesce(section, '') AS section, category, page, md5(text) AS text_md5 FROM t JOIN c USING (pos) WHERE rank <= t.top_k")
+@query(f"{_TOP} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(cosine + 1e-8, 4) AS score, coalesce(url, '') AS url, coalesce(section, '') AS section, category, page, md5(text) AS text_md5 FROM t JOIN c USING (pos) WHERE rank <= t.top_k")
 def prj_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunk_table(spark, sf_dir)
     rows = ranking.rank(query_table(spark, sf_dir), chunks).join(chunks.select("pos", "url", "section", "category", "page", "text"), "pos")
-    return rows.select("query_id", "rank", F.round("cosine", 4).alias("score"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("section", F.lit("")).alias("section"), "category", "page", F.md5("text").alias("text_md5"))
+    return rows.select("query_id", "rank", score(), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("section", F.lit("")).alias("section"), "category", "page", F.md5("text").alias("text_md5"))
 
 
 _LANGS = ("de", "en", "es", "fr")
@@ -229,18 +234,18 @@ def _by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_C}, {_Q.replace("q AS (", "q0 AS (")}, q AS (
     SELECT query_id * 4 + i AS query_id, query, terms, unit, top_k, disable_lexical, [corpus] AS categories
     FROM q0, (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) x(i, corpus)), {_F}, {_W}, {_R}
-    SELECT query_id // 4 AS query_id, ['de', 'en', 'es', 'fr'][query_id % 4 + 1] AS corpus, CAST(rank AS INTEGER) AS rank, pos, round(cosine, 4) AS score FROM t WHERE rank <= top_k""")
+    SELECT query_id // 4 AS query_id, ['de', 'en', 'es', 'fr'][query_id % 4 + 1] AS corpus, CAST(rank AS INTEGER) AS rank, pos, round(cosine + 1e-8, 4) AS score FROM t WHERE rank <= top_k""")
 def rank_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.rank(_by_corpus(spark, sf_dir), chunk_table(spark, sf_dir))
     corpus_of = F.get(F.array(*map(F.lit, _LANGS)), (F.col("query_id") % 4).cast("int"))
-    return rows.select(F.floor(F.col("query_id") / 4).cast("long").alias("query_id"), corpus_of.alias("corpus"), "rank", "pos", F.round("cosine", 4).alias("score"))
+    return rows.select(F.floor(F.col("query_id") / 4).cast("long").alias("query_id"), corpus_of.alias("corpus"), "rank", "pos", score())
 
 
 @query()
 def snk_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = query_table(spark, sf_dir), chunk_table(spark, sf_dir)
     rows = ranking.rank(asked, chunks).join(chunks.select("pos", "url", "section"), "pos").join(asked.select("query_id", "query"), "query_id")
-    return corpus.response(rows.select("query_id", "query", "rank", F.round("cosine", 4).alias("score"), "url", "section", F.col("matched").alias("matched_tokens")), {"source_host": "docs.example.org"})
+    return corpus.response(rows.select("query_id", "query", "rank", score(), "url", "section", F.col("matched").alias("matched_tokens")), {"source_host": "docs.example.org"})
 
 
 # --- chunking ----------------------------------------------------------------------
@@ -394,7 +399,7 @@ def gen_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def prj_main_nsidc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prj_main_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(table(spark, sf_dir, "pages"), profile=html.SINGLE_PAGE)
 
 
@@ -430,7 +435,7 @@ _EDGES = "edge AS (SELECT 'https://h.example/' || page_id AS url, 'https://h.exa
 def src_seed_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda n: F.concat(F.lit("https://h.example/"), n.cast("string"))
     i = F.col("page_id")
-    links = table(spark, sf_dir, "pages").select(at(i).alias("url"), F.concat(at(F.explode(F.array(i * 2 + 1, F.floor(i / 3)))), F.lit("/#x")).alias("link"))
+    links = table(spark, sf_dir, "pages").select(at(i).alias("url"), F.explode(F.array(*[F.concat(at(n), F.lit("/#x")) for n in (i * 2 + 1, F.floor(i / 3))])).alias("link"))
     ready(spark)
     return crawl.breadth_first(links, spark.range(1).select(F.lit("https://h.example/1").alias("url")), most=None)
 

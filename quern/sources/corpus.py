@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +61,16 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
+def _replaced(code: str, char: str) -> Callable[[Column], Column]:
+    return lambda u: F.replace(u, F.lit(code), F.lit(char))
+
+
 def sitemap_urls(xml: DataFrame, host: str, keep: Column | None = None) -> DataFrame:
     """Distinct, sorted URLs of the loc elements (of any namespace) of sitemaps (value), of one host, without fragments."""
     plain = F.regexp_replace("value", r"<(/?)[A-Za-z0-9_]+:", "<$1")
     locs = F.regexp_extract_all(plain, F.lit(r"(?s)<loc[^>]*>\s*(.*?)\s*</loc>"), F.lit(1))
     for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        locs = F.transform(locs, lambda u, code=code, char=char: F.replace(u, F.lit(code), F.lit(char)))
+        locs = F.transform(locs, _replaced(code, char))
     urls = xml.select(F.explode(locs).alias("url")).select(F.regexp_replace("url", "(?s)#.*$", "").alias("url"))
     urls = urls.filter(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1) == host)
     return (urls if keep is None else urls.filter(keep)).distinct().orderBy("url")
