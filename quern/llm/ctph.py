@@ -95,7 +95,7 @@ def _scan(data: np.ndarray, size: int, marks: np.ndarray) -> tuple[np.ndarray, n
         h = rolling(data[a - lead : b])[lead:]
         sums = (data[a:b].astype(np.uint64) + np.uint64(1)) * _powers(_ODD, CHUNK)[: b - a]
         sums *= np.uint64(pow(_ODD, a, 1 << 64))
-        sums[0] += carry
+        sums[:1] += carry
         np.cumsum(sums, out=sums)
         at = np.flatnonzero(h % np.uint32(size) == size - 1)
         found.append((at + a, h[at], sums[at]))

@@ -122,7 +122,7 @@ def gray(image: np.ndarray) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits in hex: is each cell of an 8 x 9 area-resized gray image darker than its right neighbour?"""
-    small = resize_area(gray(image), 8, 9)
+    small = np.round(resize_area(gray(image), 8, 9), 6)  # so that equal areas are equal
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
