@@ -102,12 +102,6 @@ def test_near_duplicates(edge, empty):
     assert by[2] == by[3] == by[4] == ("0" * 16, 2) and by[1] == by[6] and by[6][1] == 1 and by[None][1] is None
 
 
-def test_first_of_groups(edge):
-    kept = simhash.first_of_groups(edge)
-    assert kept.columns == edge.columns
-    assert sorted((r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)) == [1, 2, 5, 7, 8] and kept.filter("doc_id is null").count() == 1
-
-
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = simhash.near_duplicates(docs).orderBy("doc_id").collect()
