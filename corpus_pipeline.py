@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import langid, packing, quality, simhash
+from quern.llm import langid, nearcopies, packing, quality
 from quern.llm.common import crc32_is, read_table, written
 
 #: Least language score with which a document stays; texts without a letter go.
@@ -29,8 +29,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group that links of near fingerprints join."""
-    return simhash.first_of_groups(docs)
+    """One document, that of the least id, of each group of near copies: near fingerprints, or shingle sets 0.8 alike or more."""
+    return nearcopies.first_of_groups(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
