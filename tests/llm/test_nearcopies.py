@@ -34,7 +34,7 @@ def test_shingles():
 def test_similarity_is_exact_for_small_sets():
     rng = random.Random(1)
     for _ in range(200):
-        a, b = (np.unique(np.array(rng.sample(range(300), rng.randint(0, 200)), np.uint64)) for _ in range(2))
+        a, b = (np.unique(np.array(rng.sample(range(300), rng.randint(0, 200)), np.uint32)) for _ in range(2))
         x, y = set(a.tolist()), set(b.tolist())
         assert nearcopies.similarity(a, b) == pytest.approx(len(x & y) / len(x | y) if x | y else 1)
 
@@ -42,7 +42,7 @@ def test_similarity_is_exact_for_small_sets():
 def test_similarity_of_large_sets_is_near():
     rng = np.random.default_rng(2)
     both, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (8000, 1000, 1000))
-    a, b = (np.unique(np.concatenate([both, x]))[: nearcopies.SKETCH] for x in (one, two))
+    a, b = (nearcopies.sketch(np.unique(np.concatenate([both, x]) * np.uint64(2))) for x in (one, two))
     assert abs(nearcopies.similarity(a, b) - 0.8) < 0.08
 
 
@@ -79,5 +79,5 @@ def test_edges(edge, empty):
 
 
 def test_one_key_over_many_tasks(spark):
-    docs = spark.createDataFrame([(i, "the very same words in every one of them " + "x" * (i % 2)) for i in range(500)], "doc_id long, text string").repartition(8)
+    docs = spark.createDataFrame([(i, ("alpha one", "beta two")[i % 2] + " the very same words in every one of them") for i in range(500)], "doc_id long, text string").repartition(8)
     assert sorted(r["doc_id"] for r in nearcopies.first_of_groups(docs).collect()) == [0, 1]
