@@ -85,12 +85,14 @@ def branch_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     # up: where the jump of 2 ** k replies leads (null beyond the root); depth and total: over the replies jumped
     jump = nodes.join(known, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
     jump = checkpointed(jump)
-    jumps, most = [], jump.count()
-    while not jump.filter("up is not null").isEmpty() and 1 << len(jumps) <= most:
-        jumps.append(jump.filter("up is not null").select("node", "up"))
-        above = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        jump = checkpointed(jump.join(above, "up", "left").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
-    rooted = jump.filter("up is null")
+    # messages that have met their root are set aside, so a round is as large as what still is on its way
+    rooted, going, jumps, most = jump.filter("up is null"), jump.filter("up is not null"), [], jump.count()
+    while 1 << len(jumps) <= most and not going.isEmpty():
+        jumps.append(going.select("node", "up"))
+        known = rooted.unionByName(going)
+        above = known.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
+        jump = checkpointed(going.join(above, "up").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total")))
+        rooted, going = rooted.unionByName(jump.filter("up is null")), jump.filter("up is not null")
     leaves = rooted.join(nodes.select(F.col("parent").alias("node")).filter("node is not null").distinct(), "node", "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     if best == 1:  # an aggregate, so that a tree with many leaves needs no sort in one task
