@@ -16,11 +16,13 @@ def cost(invocations: Column, duration_ms: Column) -> Column:
 
 
 def cost_by_bucket(invocations: DataFrame, durations: DataFrame) -> DataFrame:
-    """(ts, invocations, duration_ms, cost_usd) of two series (ts, value), and a total with null ts; what a series lacks is 0."""
+    """(ts, invocations, duration_ms, cost_usd) of two series (ts, value), and a total with null ts, also over nothing; what a series lacks is 0."""
     a, b = invocations.select("ts", F.col("value").alias("i")), durations.select("ts", F.col("value").alias("d"))
     both = a.join(b, "ts", "full").select("ts", F.coalesce("i", F.lit(0)).cast("long").alias("i"), F.coalesce("d", F.lit(0.0)).cast("double").alias("d"))
     each = both.withColumn("c", cost(F.col("i"), F.col("d")))
-    return each.groupingSets([["ts"], []], "ts").agg(F.coalesce(F.sum("i"), F.lit(0)).alias("invocations"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("duration_ms"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("cost_usd"))
+    none = F.lit(None).cast(each.schema["ts"].dataType).alias("ts")
+    total = each.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("i"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"), F.coalesce(F.sum("c"), F.lit(0.0)).alias("c")).select(none, "i", "d", "c")
+    return each.unionByName(total).select("ts", F.col("i").alias("invocations"), F.col("d").alias("duration_ms"), F.col("c").alias("cost_usd"))
 
 
 def local_line(line: Column, zone: str = "UTC") -> Column:
