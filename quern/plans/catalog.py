@@ -6,6 +6,7 @@ language; section: the source), benchmark items the queries, pages the crawl.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -332,6 +333,45 @@ def gen_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.page_chunks(pages.filter(whole), toc).select("url", "source_page", "section", "order_key", "text")
 
 
+@query(f"WITH {_PIECES}, n AS (SELECT count(DISTINCT source) AS pages, count(*) AS chunks FROM pieces WHERE length(piece) >= 40) SELECT what, found, least, found >= least AS enough FROM (SELECT 'pages' AS what, pages AS found, CAST(20 AS BIGINT) AS least FROM n UNION ALL SELECT 'chunks', chunks, 100 FROM n)")
+def snk_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _pieces(spark, sf_dir, T.LEAST_CHUNK).agg(F.countDistinct("source").alias("pages"), F.count("*").alias("chunks"))
+    return corpus.shortfalls(counts, corpus.SITE_GUARD)
+
+
+# --- sources -----------------------------------------------------------------------
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new path in the session's shared folder."""
+    ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT item_id, text FROM benchmark")
+def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared(spark, "jsonl")
+    table(spark, sf_dir, "benchmark").select(F.concat(F.to_json(F.struct("item_id", "text")), F.lit("\n"))).write.text(path)
+    return corpus.read_json_lines(spark, path, "item_id long, text string")
+
+
+@query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, CAST(item_id AS VARCHAR) AS id, text, CAST(len(embedding) AS INTEGER) AS dim FROM benchmark JOIN embeddings ON item_id = vec_id")
+def src_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-document format of a small corpus, written and read; large corpora are Parquet."""
+    path = _shared(spark, "envelope")
+    rows = query_table(spark, sf_dir).select(F.struct("query_id", F.struct(F.col("query_id").cast("string").alias("id"), F.col("query").alias("text"), F.col("unit").alias("embedding")).alias("c")).alias("x"))
+    chunks = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"])
+    rows.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(corpus.EMBEDDER).alias("embedder"), F.lit(64).alias("embedding_dim"), chunks.alias("chunks")))).write.text(path)
+    return corpus.read_envelope(spark, path).select("pos", "id", "text", F.size("embedding").alias("dim"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 11 <> 0 AND page_id % 5 <> 0 AND page_id % 5 <> 4")
+def src_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a fetch keeps: pages that were found and are HTML, by URL."""
+    found = table(spark, sf_dir, "pages").filter("page_id % 11 <> 0")
+    return found.filter(U.is_html(F.expr(_CTYPE))).orderBy("url").select("page_id", "url")
+
+
 # --- URLs and pages ----------------------------------------------------------------
 
 #: Page URLs with what their ids make of them: other hosts, fragments, machinery, categories.
@@ -398,6 +438,11 @@ def gen_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(table(spark, sf_dir, "pages"))
 
 
+@query()
+def prj_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_sections(table(spark, sf_dir, "pages")).select("url", "title").distinct()
+
+
 @query()
 def prj_main_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(table(spark, sf_dir, "pages"), profile=html.SINGLE_PAGE)
@@ -526,6 +571,21 @@ def ev_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.overall(_records(spark, sf_dir)))
 
 
+@query(f"{_JUDGED} SELECT recall_at_5 FROM (SELECT {_METRICS} FROM rec)")
+def ev_recall5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev_metrics(spark, sf_dir).select("recall_at_5")
+
+
+@query(f"{_JUDGED} SELECT hit_at_1 FROM (SELECT {_METRICS} FROM rec)")
+def ev_hit1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev_metrics(spark, sf_dir).select("hit_at_1")
+
+
+@query(f"{_JUDGED} SELECT mrr FROM (SELECT {_METRICS} FROM rec)")
+def ev_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev_metrics(spark, sf_dir).select("mrr")
+
+
 @query(f"{_JUDGED} SELECT CAST(2 - grouping(corpus) - grouping(type) AS INTEGER) AS level, corpus, type, {_METRICS} FROM rec GROUP BY GROUPING SETS ((), (corpus), (corpus, type))")
 def ev_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.by_group(_records(spark, sf_dir)))

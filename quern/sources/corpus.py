@@ -105,6 +105,12 @@ def guard(counts: dict[str, int], least: dict[str, int]) -> None:
         raise PublishError("too few " + ", ".join(short))
 
 
+def shortfalls(counts: DataFrame, least: dict[str, int]) -> DataFrame:
+    """(what, found, least, enough) of one row of counts: the guard as a table."""
+    rows = [F.struct(F.lit(k).alias("what"), F.col(k).cast("long").alias("found"), F.lit(n).cast("long").alias("least")) for k, n in least.items()]
+    return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*", (F.col("x.found") >= F.col("x.least")).alias("enough"))
+
+
 def publish(chunks: DataFrame, path: str, counts: dict[str, int], least: dict[str, int]) -> None:
     """Replaces the corpus at ``path``, in the order of pos, unless the build is too small."""
     guard(counts | {"chunks": chunks.count()}, least)
