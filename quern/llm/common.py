@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step holds at most, unless one text alone is longer.
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 800_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,6 +37,8 @@ OPEN_BINS = 32_768
 TASK_TOKENS = 40_000_000
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew.
 WORDS_KEPT = 600_000
+#: The same for parts of words, which are asked for only when a word is new.
+PARTS_KEPT = 300_000
 END = np.array([0], "<u4").tobytes()
 
 
@@ -74,7 +76,7 @@ class Words:
         self._encode(self.library, other, self.kept)
         split = list(map(self.part.findall, plain))
         new = {p for own in split for p in own if p not in self.parts}
-        if len(self.parts) + len(new) > WORDS_KEPT:
+        if len(self.parts) + len(new) > PARTS_KEPT:
             self.parts, new = {}, {p for own in split for p in own}
         self._encode(self.of_parts, list(new), self.parts)
         table = self.parts
