@@ -4,13 +4,10 @@ Fingerprints of 64 bits that differ in two bits at most are linked by the Gray-o
 index of ``simhash``. Texts whose shingle sets are 0.8 alike differ in about seven bits,
 and often in more than ten, so that index alone finds few of them (the README has
 figures). So each text also has BANDS keys of ROWS minima of its shingles' permuted
-hashes: two texts 0.8 alike share one of them but for a chance of 0.0002. Within a key,
-texts are put in Gray order of their fingerprints and each is held against the
-NEIGHBOURS before it and against the first of its run, which links what is alike without making
-all pairs of a group; texts that are alike meet under several keys, each with its own
-neighbours. Pairs are confirmed by the Jaccard similarity of the sets, exact where
-both have fewer than SKETCH shingles, else by the SKETCH smallest hashes of their union
-(standard error 0.0125).
+hashes: two texts 0.8 alike share one of them but for a chance of 0.0002. All pairs of
+texts that share a key are decided by the exact Jaccard similarity of their whole
+shingle sets: a key's texts are dealt into blocks, a task holds two blocks against each
+other and passes on a spanning forest of what is alike, never all pairs.
 
 Defined cases: a null text is empty; fewer words than five are one shingle; texts
 without words are copies of each other; rows without a key are in no group; rows with
@@ -35,8 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SKETCH = 1024
-#: Rows before it, in Gray order, that each row of a key is held against.
-NEIGHBOURS = 4
+#: About as many classes and hashes of a key are a block; a key with more has several blocks.
+BLOCK_CLASSES, BLOCK_HASHES = 1_024, 1 << 19
 _STEP = 4_096
 _RNG = np.random.default_rng(11)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,81 +83,131 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.searchsorted(both, union[-1], "right") / len(union)
 
 
-def _sketched(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, fp, cls, keys, sketch): fingerprint, digest of the shingle set, band keys and smallest hashes of each document."""
+def _digested(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, fp, cls, size, keys): fingerprint, digest and size of the shingle set, and band keys of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch, text)
-            sets = [shingles(t) for t in texts]
-            fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            cls = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-            keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fps), pa.array(cls, pa.string()), keys, pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["doc", "fp", "cls", "keys", "sketch"])
+            fps, cls, sizes, keys = [], [], [], []
+            for t in texts:
+                hashes = shingles(t)
+                fps.append(simhash.fingerprint(t))
+                cls.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                keys.append(band_keys(hashes).view(np.int64))
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(key), fp, pa.array(cls, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "fp", "cls", "size", "keys"])
 
-    return arrow_map(df.select(key, text).filter(F.col(key).isNotNull()), run, f"doc {df.schema[key].dataType.simpleString()}, fp long, cls string, keys array<long>, sketch binary")
+    return arrow_map(df.select(key, text).filter(F.col(key).isNotNull()), run, f"doc {df.schema[key].dataType.simpleString()}, fp long, cls binary, size long, keys array<long>")
 
 
-def _candidates(classes: DataFrame, kind: str) -> DataFrame:
-    """(a, b): each class with its neighbour in Gray order, and with the first of its run, under each band key.
+def _members(classes: DataFrame) -> DataFrame:
+    """(band, k, blocks, cls, doc): the classes of each key that two or more share; of keys with the same classes, one."""
+    rows = classes.select("cls", "doc", "size", F.posexplode("keys").alias("band", "k"))
+    held = [F.count("*").alias("many"), F.sum("size").alias("words"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")]
+    keys = rows.groupBy("band", "k").agg(*held).filter("many > 1")
+    keys = keys.groupBy("many", "words", "x", "y").agg(F.min(F.struct("band", "k")).alias("key"))
+    blocks = F.greatest(F.ceil(F.col("many") / BLOCK_CLASSES), F.ceil(F.col("words") / BLOCK_HASHES)).cast("int")
+    return rows.join(keys.select("key.band", "key.k", blocks.alias("blocks")), ["band", "k"]).select("band", "k", "blocks", "cls", "doc")
 
-    Rows are dealt out by ranges of key and Gray rank, so a key that very many texts share is spread over tasks;
-    at a task's first row of a key a run begins anew, and the pair across that edge is made from the edges of the tasks.
-    """
-    gray = F.col("fp")
-    for shift in (1, 2, 4, 8, 16, 32):
-        gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, shift))
-    rows = classes.select(F.posexplode("keys").alias("band", "k"), gray.alias("gray"), "doc")
-    order = ["band", "k", "gray", "doc"]
+
+def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(cls, hashes): the whole shingle set of each class of ``wanted`` (doc, cls), made again from its document's text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first, last = None, None, []  # band and key, the first of the run, the last rows but it
         for batch in batches:
-            band, k, doc = (batch.column(c).to_pylist() for c in ("band", "k", "doc"))
-            a, b = [], []
-            for x, y, z in zip(band, k, doc):
-                if at != (x, y):
-                    at, first, last = (x, y), z, []
-                    continue
-                a += [first, *last]
-                b += [z] * (1 + len(last))
-                last = [*last[1 - NEIGHBOURS :], z]
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column("doc").type), pa.array(b, batch.column("doc").type)], names=["a", "b"])
-
-    near = arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, f"a {kind}, b {kind}")
-    # what runs in several tasks have in common: the least document of the key, with each key's documents that are first by Gray rank
-    lead = rows.groupBy("band", "k").agg(F.min("doc").alias("a"), F.min(F.struct("gray", "doc")).alias("low"), F.max(F.struct("gray", "doc")).alias("high"), F.count("*").alias("n")).filter("n > 2")
-    lead = lead.select("a", F.explode(F.array("low.doc", "high.doc")).alias("b"))
-    pairs = near.unionByName(lead).filter("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, kind: str, least: float) -> DataFrame:
+            sets = [shingles(t).tobytes() for t in texts_of(batch, "text")]
+            own = pa.array([xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, batch.column("cls").to_pylist())], pa.bool_())  # rows with one key may differ
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], names=["cls", "hashes"]).filter(own)
+
+    texts = df.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(wanted, "doc").select("cls", "text")
+    return arrow_map(texts, run, "cls binary, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes"))
+
+
+def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of places in ``sets`` that join what the pairs of left x right of similarity ``least`` or more join, and no more of them than places.
+
+    All pairs are decided, exactly: shared hashes are counted by products of 0/1 matrices, _STEP hashes at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = counts > 1
+    kept = several[place]
+    column, row = (np.cumsum(several) - 1)[place[kept]], np.repeat(np.arange(len(sets)), sizes)[kept]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(left), len(right)))
+    for at in range(0, int(several.sum()), _STEP):
+        a, b = np.searchsorted(column, [at, at + _STEP])
+        has = np.zeros((len(sets), int(column[b - 1]) + 1 - at), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        both += has[left] @ has[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    alike = np.zeros((len(sets), len(sets)), bool)
+    alike[np.ix_(left, right)] = both / np.maximum(union, 1) >= least
+    alike |= alike.T
+    out, new = [], np.ones(len(sets), bool)
+    for root in range(len(sets)):
+        todo = [root] if new[root] else []
+        new[root] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(alike[i] & new).tolist()
+            new[found] = False
+            out += [(i, j) for j in found]
+            todo += found
+    return out
+
+
+def _alike(members: DataFrame, sets: DataFrame, kind: str, least: float) -> DataFrame:
+    """(a, b): links that join all classes that share a key and are ``least`` alike or more.
+
+    The classes of a key are dealt into blocks, and each two blocks (and each with itself) are a cell,
+    so a key that very many texts share is spread over tasks, and no pair of it is left out.
+    """
+    rows = members.join(sets, "cls").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["band", "k", "lo", "hi"]
+    rows = rows.select("band", "k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc", "hashes")
+
+    def decided(at: tuple, held: list[tuple]) -> list[tuple]:
+        own = np.array([x[0] for x in held])
+        left, right = np.flatnonzero(own == at[2]), np.flatnonzero(own == at[3])
+        return [(held[i][1], held[j][1]) for i, j in forest([x[2] for x in held], left, right, least)]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, type_ = None, [], None
         for batch in batches:
-            left, right = ([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()] for c in ("left", "right"))
-            good = pa.array([similarity(x, y) >= least for x, y in zip(left, right)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
+            type_, pairs = batch.column("doc").type, []
+            cells = zip(*(batch.column(c).to_pylist() for c in cell))
+            for here, own, doc, hashes in zip(cells, *(batch.column(c).to_pylist() for c in ("own", "doc", "hashes"))):
+                if here != at:
+                    pairs += decided(at, held) if held else []
+                    at, held = here, []
+                held.append((own, doc, np.frombuffer(hashes, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type_) for i in (0, 1)], names=["a", "b"])
+        if held:
+            pairs = decided(at, held)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], type_) for i in (0, 1)], names=["a", "b"])
 
-    one = pairs.join(classes.select(F.col("doc").alias("a"), F.col("sketch").alias("left")), "a")
-    both = one.join(classes.select(F.col("doc").alias("b"), F.col("sketch").alias("right")), "b").select("a", "b", "left", "right")
-    return arrow_map(both, run, f"a {kind}, b {kind}")
+    return arrow_map(rows.repartition(*cell).sortWithinPartitions(*cell), run, f"a {kind}, b {kind}")
 
 
 def group_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(a, b): links between documents whose chains make up the groups."""
     kind = df.schema[key].dataType.simpleString()
-    docs = checkpointed(_sketched(df, key, text))
+    docs = checkpointed(_digested(df, key, text))
     by_fp = docs.groupBy("fp").agg(F.min("doc").alias("least"))
     by_cls = docs.groupBy("cls").agg(F.min("doc").alias("least"))
-    # one document stands for all with its shingle set; of rows with one key any will do
-    classes = docs.join(by_cls, "cls").filter("doc = least").groupBy("doc").agg(*(F.min_by(c, "cls").alias(c) for c in ("fp", "keys", "sketch")))
-    classes = checkpointed(classes)
+    # one document stands for all with its shingle set
+    classes = docs.join(by_cls, "cls").filter("doc = least").dropDuplicates(["cls"])
+    members = checkpointed(_members(classes))
     near = simhash.links(by_fp.select("fp"))
     near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("one")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("two")), "b").select(F.col("one").alias("a"), F.col("two").alias("b"))
     same = docs.select("doc", "fp").join(by_fp, "fp").select(F.col("doc").alias("a"), F.col("least").alias("b"))
     equal = docs.select("doc", "cls").join(by_cls, "cls").select(F.col("doc").alias("a"), F.col("least").alias("b"))
-    alike = _confirmed(_candidates(classes, kind), classes, kind, least)
+    alike = _alike(members, _sets(df, members.select("doc", "cls").distinct(), key, text), kind, least)
     return near.unionByName(same).unionByName(equal).unionByName(alike).filter("a <> b")
 
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from quern.llm import nearcopies
+from quern.llm import nearcopies, simhash
 
 
 def brute_kept(texts, least=0.8):
@@ -81,3 +81,64 @@ def test_edges(edge, empty):
 def test_one_key_over_many_tasks(spark):
     docs = spark.createDataFrame([(i, ("alpha one", "beta two")[i % 2] + " the very same words in every one of them") for i in range(500)], "doc_id long, text string").repartition(8)
     assert sorted(r["doc_id"] for r in nearcopies.first_of_groups(docs).collect()) == [0, 1]
+
+
+def overlapping(n, size, own, rng):
+    """Texts that share most words in one order, each with ``own`` words changed at places of its own."""
+    base = [f"w{i}" for i in range(size)]
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(size), own):
+            words[at] = f"own{i}x{at}"
+        yield " ".join(words)
+
+
+def first_of(texts, least=0.8):
+    """As brute_kept, with links of fingerprints within two bits as well."""
+    sets = [nearcopies.shingles(t) for t in texts]
+    ids, at = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros((len(texts), len(ids)), np.float32)
+    has[np.repeat(np.arange(len(texts)), [len(s) for s in sets]), at] = 1
+    both = (has @ has.T).astype(float)
+    linked = both / (has.sum(1)[:, None] + has.sum(1) - both) >= least
+    fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
+    linked |= np.bitwise_count(fps[:, None] ^ fps) <= 2
+    kept, new = set(), np.ones(len(texts), bool)
+    for root in range(len(texts)):
+        if new[root]:
+            kept.add(root)
+            todo = [root]
+            while todo:
+                found = np.flatnonzero(linked[todo.pop()] & new)
+                new[found] = False
+                todo += found.tolist()
+    return kept
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    return {r["doc_id"] for r in nearcopies.first_of_groups(docs).collect()}
+
+
+def test_every_pair_of_a_key_is_decided(spark, monkeypatch):
+    """Many texts share each key and are alike only here and there; small blocks make many cells."""
+    monkeypatch.setattr(nearcopies, "BLOCK_CLASSES", 100, raising=False)
+    texts = list(overlapping(600, 200, 4, random.Random(4)))
+    assert kept_of(spark, texts) == first_of(texts)
+
+
+def test_forest_is_exact():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64)) for _ in range(80)]
+    left, right = np.arange(0, 40), np.arange(40, 80)
+
+    def joined(pairs):
+        root = list(range(80))
+        for a, b in pairs:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        return root
+
+    for some, other in ((left, right), (np.arange(80), np.arange(80))):
+        whole = [(a, b) for a in some for b in other if a != b and len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))]
+        found = nearcopies.forest(sets, some, other, 0.5)
+        assert whole and joined(found) == joined(whole) and len(found) < 80
