@@ -213,18 +213,18 @@ def topk_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_TOP} SELECT {_SHOWN} FROM t WHERE rank <= top_k AND disable_lexical")
 def topk_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = query_table(spark, sf_dir).filter("disable_lexical")
-    return _shown_top(ranking.rank(asked, stored_chunks(spark, sf_dir)))
+    return _shown_top(ranking.rank_all(asked, stored_chunks(spark, sf_dir)))
 
 
 @query(f"{_TOP} SELECT {_SHOWN} FROM t WHERE rank <= top_k")
 def rank_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown_top(ranking.rank(query_table(spark, sf_dir), stored_chunks(spark, sf_dir)))
+    return _shown_top(ranking.rank_all(query_table(spark, sf_dir), stored_chunks(spark, sf_dir)))
 
 
 @query(f"{_TOP} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(cosine + 1e-8, 4) AS score, coalesce(url, '') AS url, coalesce(section, '') AS section, category, page, md5(text) AS text_md5 FROM t JOIN c USING (pos) WHERE rank <= t.top_k")
 def prj_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = stored_chunks(spark, sf_dir)
-    rows = ranking.rank(query_table(spark, sf_dir), chunks).join(chunks.select("pos", "url", "section", "category", "page", "text"), "pos")
+    rows = ranking.rank_all(query_table(spark, sf_dir), chunks).join(chunks.select("pos", "url", "section", "category", "page", "text"), "pos")
     return rows.select("query_id", "rank", score(), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("section", F.lit("")).alias("section"), "category", "page", F.md5("text").alias("text_md5"))
 
 
@@ -243,7 +243,7 @@ def _by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM q0, (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) x(i, corpus)), {_F}, {_W}, {_R}
     SELECT query_id // 4 AS query_id, ['de', 'en', 'es', 'fr'][query_id % 4 + 1] AS corpus, CAST(rank AS INTEGER) AS rank, pos, round(cosine + 1e-8, 4) AS score FROM t WHERE rank <= top_k""")
 def rank_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ranking.rank(_by_corpus(spark, sf_dir), stored_chunks(spark, sf_dir))
+    rows = ranking.rank_all(_by_corpus(spark, sf_dir), stored_chunks(spark, sf_dir))
     corpus_of = F.get(F.array(*map(F.lit, _LANGS)), (F.col("query_id") % 4).cast("int"))
     return rows.select(F.floor(F.col("query_id") / 4).cast("long").alias("query_id"), corpus_of.alias("corpus"), "rank", "pos", score())
 
@@ -251,7 +251,7 @@ def rank_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def snk_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = query_table(spark, sf_dir), stored_chunks(spark, sf_dir)
-    rows = ranking.rank(asked, chunks).join(chunks.select("pos", "url", "section"), "pos").join(asked.select("query_id", "query"), "query_id")
+    rows = ranking.rank_all(asked, chunks).join(chunks.select("pos", "url", "section"), "pos").join(asked.select("query_id", "query"), "query_id")
     return corpus.response(rows.select("query_id", "query", "rank", score(), "url", "section", F.col("matched").alias("matched_tokens")), {"source_host": "docs.example.org"})
 
 
@@ -541,7 +541,7 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = stored_chunks(spark, sf_dir)
     deep = query_table(spark, sf_dir).withColumn("top_k", F.lit(evaluation.DEPTH))
-    return ranking.rank(deep, chunks).select("query_id", "rank", "pos").join(chunks.select("pos", "url", "section", "page"), "pos")
+    return ranking.rank_all(deep, chunks).select("query_id", "rank", "pos").join(chunks.select("pos", "url", "section", "page"), "pos")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
