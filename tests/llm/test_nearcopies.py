@@ -142,3 +142,16 @@ def test_forest_is_exact():
         whole = [(a, b) for a in some for b in other if a != b and len(np.intersect1d(sets[a], sets[b])) >= 0.5 * len(np.union1d(sets[a], sets[b]))]
         found = nearcopies.forest(sets, some, other, 0.5)
         assert whole and joined(found) == joined(whole) and len(found) < 80
+
+
+def test_one_key_of_thousands_of_texts_over_many_tasks(spark):
+    """Distinct texts under the same keys, dealt to many tasks; what is kept does not depend on how many."""
+    texts = list(overlapping(3000, 200, 4, random.Random(6)))
+    want = first_of(texts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (3, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert kept_of(spark, texts) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
