@@ -68,7 +68,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The upper halves of the SKETCH smallest hashes, ascending and distinct."""
+    """The upper halves of the SKETCH smallest hashes, ascending and distinct. The stage decides by whole sets; no pair is decided by this."""
     return np.unique((hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32))
 
 

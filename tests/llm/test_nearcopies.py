@@ -155,3 +155,14 @@ def test_one_key_of_thousands_of_texts_over_many_tasks(spark):
             assert kept_of(spark, texts) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_texts_are_decided_exactly(spark):
+    """Pairs of 3,000 words just at 0.8 or above it, and just below: a sample of the shingles would mistake many."""
+    rng, texts = random.Random(8), []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(3004)]
+        # the last m words are new: 3,000 - m shingles in common, so similarity (3000 - m) / (3000 + m)
+        m = rng.choice([330, 333, 336, 339])
+        texts += [" ".join(words), " ".join([*words[: 3004 - m], *(f"x{g}y{i}" for i in range(m))])]
+    assert kept_of(spark, texts) == first_of(texts) and len(first_of(texts)) not in (60, 120)
