@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.functions import text as T
 from quern.functions import urls as U
 
@@ -39,17 +40,22 @@ def chunks(sections: DataFrame, cap: int = T.CHUNK_CAP, least: int = T.LEAST_CHU
 def in_corpus_order(rows: DataFrame, *keys: str) -> DataFrame:
     """Adds pos, from 0, by the keys, without one task that sees all rows.
 
-    Rows are dealt out by ranges of the keys; the driver gets a count for each range.
+    Rows are dealt out by ranges of the keys and written with their range and their place in it, so that
+    the counts and the result come from the same ranges, whatever the planner makes of them. What is put in
+    order over all is a count for each range. Rows with equal keys go in any order, and may be split over ranges.
     """
-    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id())
-    sorted_ = sorted_.withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33))
-    counts = sorted(sorted_.groupBy("__part").count().collect())
-    before, total = [], 0
-    for part, count in counts:
-        before.append((part, total))
-        total += count
-    base = rows.sparkSession.createDataFrame(before, "__part int, __before long")
-    return sorted_.join(F.broadcast(base), "__part").withColumn("pos", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+    spark = rows.sparkSession
+    stored = scratch.path(spark, "unordered")
+    rows.write.mode("overwrite").parquet(stored)  # ranges are sampled first: what the rows are made from runs once
+    order = [*keys, "__tie"]
+    ranged = spark.read.schema(rows.schema).parquet(stored).withColumn("__tie", F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie").withColumn("__part", F.spark_partition_id())
+    ranged = scratch.written(ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
+    scratch.drop(spark, stored)
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__part", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    return ranged.join(F.broadcast(base), "__part").withColumn("pos", F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
 
 
 def titles_at(pages: DataFrame, toc: DataFrame) -> DataFrame:

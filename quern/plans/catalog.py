@@ -6,12 +6,12 @@ language; section: the source), benchmark items the queries, pages the crawl.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern import scratch
 from quern.functions import text as T
 from quern.functions import urls as U
 from quern.functions import vectors as V
@@ -19,6 +19,9 @@ from quern.operators import chunking, crawl, evaluation, html, ranking, review,
 from quern.sources import corpus
 from quern.streaming import events as stream
 
+#: Sets the session's shared folder.
+ready = scratch.ready
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -101,9 +104,8 @@ def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk index written once to the shared folder: ranking reads it three times."""
-    ready(spark)
-    return chunk_table(spark, sf_dir).checkpoint()
+    """The chunk index, without the texts, written once to the shared folder: ranking reads some of its columns three times."""
+    return scratch.written(chunk_table(spark, sf_dir).drop("text"), "index")
 
 
 def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +209,7 @@ def _shown_top(rows: DataFrame) -> DataFrame:
 @query(f"{_TOP} SELECT {_SHOWN} FROM t WHERE rank <= top_k AND NOT disable_lexical")
 def topk_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = query_table(spark, sf_dir).filter("not disable_lexical")
-    return _shown_top(ranking.fused(ranking.ranks(asked, chunk_table(spark, sf_dir)), asked))
+    return _shown_top(ranking.rank_all(asked, stored_chunks(spark, sf_dir)))
 
 
 @query(f"{_TOP} SELECT {_SHOWN} FROM t WHERE rank <= top_k AND disable_lexical")
@@ -223,8 +225,8 @@ def rank_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_TOP} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(cosine + 1e-8, 4) AS score, coalesce(url, '') AS url, coalesce(section, '') AS section, category, page, md5(text) AS text_md5 FROM t JOIN c USING (pos) WHERE rank <= t.top_k")
 def prj_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = stored_chunks(spark, sf_dir)
-    rows = ranking.rank_all(query_table(spark, sf_dir), chunks).join(chunks.select("pos", "url", "section", "category", "page", "text"), "pos")
+    chunks, texts = stored_chunks(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
+    rows = ranking.rank_all(query_table(spark, sf_dir), chunks).join(chunks.select("pos", "url", "section", "category", "page"), "pos").join(texts, "pos")
     return rows.select("query_id", "rank", score(), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("section", F.lit("")).alias("section"), "category", "page", F.md5("text").alias("text_md5"))
 
 
@@ -348,26 +350,20 @@ def snk_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources -----------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared folder."""
-    ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT item_id, text FROM benchmark")
 def src_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _shared(spark, "jsonl")
-    table(spark, sf_dir, "benchmark").select(F.concat(F.to_json(F.struct("item_id", "text")), F.lit("\n"))).write.text(path)
+    path = scratch.path(spark, "jsonl")
+    table(spark, sf_dir, "benchmark").select(F.concat(F.to_json(F.struct("item_id", "text")), F.lit("\n"))).write.mode("overwrite").text(path)
     return corpus.read_json_lines(spark, path, "item_id long, text string")
 
 
 @query("SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, CAST(item_id AS VARCHAR) AS id, text, CAST(len(embedding) AS INTEGER) AS dim FROM benchmark JOIN embeddings ON item_id = vec_id")
 def src_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-document format of a small corpus, written and read; large corpora are Parquet."""
-    path = _shared(spark, "envelope")
+    path = scratch.path(spark, "envelope")
     rows = query_table(spark, sf_dir).select(F.struct("query_id", F.struct(F.col("query_id").cast("string").alias("id"), F.col("query").alias("text"), F.col("unit").alias("embedding")).alias("c")).alias("x"))
     chunks = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["c"])
-    rows.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(corpus.EMBEDDER).alias("embedder"), F.lit(64).alias("embedding_dim"), chunks.alias("chunks")))).write.text(path)
+    rows.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.lit(corpus.EMBEDDER).alias("embedder"), F.lit(64).alias("embedding_dim"), chunks.alias("chunks")))).write.mode("overwrite").text(path)
     return corpus.read_envelope(spark, path).select("pos", "id", "text", F.size("embedding").alias("dim"))
 
 
@@ -487,16 +483,9 @@ def src_seed_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda n: F.concat(F.lit("https://h.example/"), n.cast("string"))
     i = F.col("page_id")
     links = table(spark, sf_dir, "pages").select(at(i).alias("url"), F.explode(F.array(*[F.concat(at(n), F.lit("/#x")) for n in (i * 2 + 1, F.floor(i / 3))])).alias("link"))
-    ready(spark)
     return crawl.breadth_first(links, spark.range(1).select(F.lit("https://h.example/1").alias("url")), most=None)
 
 
-def ready(spark: SparkSession) -> None:
-    """A checkpoint folder: the session's, or one of our own where none is set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
 # --- display -----------------------------------------------------------------------
 
 

@@ -1,12 +1,13 @@
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import urls as U
-from quern.operators import chunking
+from quern.operators import chunking, crawl
 
 
 def plain_split(text, cap):
@@ -75,3 +76,31 @@ def test_corpus_order(spark):
     got = chunking.in_corpus_order(rows, "k").collect()
     assert sorted(r["pos"] for r in got) == list(range(500)) and all(r["pos"] == r["k"] for r in got)
     assert chunking.in_corpus_order(rows.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_corpus_order_of_many_rows(spark, tmp_path, adaptive):
+    """A million rows, written and read again: every position once, in the order of the keys."""
+    n = 1_000_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.lit("x").alias("v")).repartition(5)
+        chunking.in_corpus_order(rows, "k").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == n and got.filter("pos <> k").count() == 0
+
+
+def test_corpus_order_of_a_key_with_a_third_of_all_rows(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
+    got = chunking.in_corpus_order(rows, "k").orderBy("pos").collect()
+    assert [r["pos"] for r in got] == list(range(30_000)) and [r["k"] for r in got] == sorted(r["k"] for r in got)
+
+
+def test_a_long_chain_is_crawled_to_its_end(spark):
+    links = spark.range(130).select(F.concat(F.lit("https://h/"), "id").alias("url"), F.concat(F.lit("https://h/"), F.col("id") + 1, F.lit("/#x")).alias("link"))
+    seeds = spark.createDataFrame([("https://h/0",)], "url string")
+    got = {r["url"]: r["depth"] for r in crawl.breadth_first(links, seeds, None).collect()}
+    assert got == {f"https://h/{i}": i for i in range(131)}
+    assert sorted(r["depth"] for r in crawl.breadth_first(links, seeds, 4).collect()) == [0, 1, 2, 3]
