@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -10,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.scratch import checkpointed, written
+
+__all__ = ["arrow_map", "batch_of", "blocks", "checkpointed", "crc32_is", "read_table", "texts_of", "written"]
+
 #: Characters of text that one vectorised step holds at most, unless one text alone is longer.
 BLOCK_CHARS = 800_000
 
@@ -45,27 +48,6 @@ def batch_of(schema: pa.Schema, **columns: Any) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in columns.items()], names=list(columns))
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set one only where none is named, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-
-
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def crc32_is(column: str, modulus: int, rest: int) -> Any:
     """Is crc32 of the column as text, modulo ``modulus``, equal to ``rest``? Null ids are never held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == rest, F.lit(False))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet under the shared folder and read again."""
-    ensure_checkpoints(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)

@@ -4,8 +4,10 @@ Images are decoded to numpy arrays, resized by area with integral images and
 written as NPY tiles with a difference hash. Each image is handled on its own in
 an Arrow batch, so there is no shuffle and a task holds one batch at a time.
 
-Defined cases: null bytes are an empty payload; an image that cannot be decoded
-gives null tile columns and its error message; repeated rows give equal rows.
+Defined cases: null bytes are an empty payload; an image that cannot be decoded (damaged,
+cut short, without samples, with a header that asks for more than the file holds or
+samples over their maximum) gives null tile columns and its error message; repeated rows
+give equal rows; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,41 +27,75 @@ from quern.llm.common import arrow_map, batch_of, texts_of
 
 SAMPLE_WIDTH = 64
 TILE = 16
+#: Digits of a number in a Netpbm header or plain sample at most.
+HEADER_DIGITS = 9
 _SPACE_OR_COMMENT = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*")
+_COMMENT = re.compile(rb"#[^\n\r]*")
+_DIGITS = re.compile(rb"\d+")
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as a (height, width) or (height, width, 3) array, uint8 up to maxval 255, else uint16. P1 and P4: 1 is black."""
-    if not re.match(rb"P[1-6]\s", data):
-        raise ValueError("not a Netpbm image")
-    kind, at, header = data[1] - 48, 2, []
-    for _ in range(2 if kind in (1, 4) else 3):
+def _netpbm_header(data: bytes, many: int) -> tuple[list[int], int]:
+    """The numbers after the magic, and where they end; ValueError unless each has HEADER_DIGITS digits at most."""
+    found, at = [], 2
+    for _ in range(many):
         at = _SPACE_OR_COMMENT.match(data, at).end()
-        digits = re.compile(rb"\d+").match(data, at)
-        if digits is None:
+        digits = _DIGITS.match(data, at)
+        if digits is None or len(digits[0]) > HEADER_DIGITS:
             raise ValueError("bad Netpbm header")
-        header.append(int(digits[0]))
+        found.append(int(digits[0]))
         at = digits.end()
+    return found, at
+
+
+def _plain_samples(data: bytes, count: int, top: int, single: bool) -> np.ndarray:
+    """The samples of a plain Netpbm image as int64: words of digits, or single digits for bitmaps."""
+    bare = _COMMENT.sub(b"", data)
+    words = list(re.sub(rb"\s", b"", bare)[:count]) if single else bare.split(None, count)[:count]
+    if single:
+        out = np.array(words, np.int64) - 48
+    else:
+        if any(len(w) > HEADER_DIGITS or not w.isdigit() for w in words):
+            raise ValueError("bad Netpbm sample")
+        out = np.array([int(w) for w in words], np.int64)
+    if out.size < count:
+        raise ValueError("Netpbm image is cut short")
+    if out.size and (out.min() < 0 or out.max() > top):
+        raise ValueError("Netpbm sample is over its maximum")
+    return out
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 as a (height, width) or (height, width, 3) array, uint8 up to maxval 255, else uint16. P1 and P4: 1 is black.
+
+    ValueError for a header that asks for no samples or for more than the file can hold (a plain
+    sample takes a byte at least), for samples over the maximum and for a file that is cut short.
+    """
+    if not re.match(rb"P[1-6]\s", data):
+        raise ValueError("not a Netpbm image")
+    kind = data[1] - 48
+    header, at = _netpbm_header(data, 2 if kind in (1, 4) else 3)
     width, height, top = header[0], header[1], header[2] if len(header) > 2 else 1
     if not 0 < top < 65536:
         raise ValueError("bad Netpbm maxval")
+    if not width or not height:
+        raise ValueError("Netpbm image has no samples")
     channels = 3 if kind in (3, 6) else 1
     count, shape = width * height * channels, (height, width, 3) if channels == 3 else (height, width)
     kind_of = np.dtype(np.uint8) if top < 256 else np.dtype(">u2")
-    if kind == 1:
-        bits = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:count]
-        out = np.frombuffer(bits, np.uint8) - 48
-    elif kind in (2, 3):
-        out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:count], dtype=np.int64).astype(kind_of.newbyteorder("="))
-    elif kind == 4:
-        line = (width + 7) // 8
+    line = (width + 7) // 8
+    if (line * height if kind == 4 else count * (kind_of.itemsize if kind > 4 else 1)) > len(data) - at:
+        raise ValueError("Netpbm image is cut short")
+    if kind < 4:
+        return _plain_samples(data[at:], count, top, kind == 1).astype(kind_of.newbyteorder("=")).reshape(shape)
+    if at + 1 > len(data) or not data[at : at + 1].isspace():
+        raise ValueError("bad Netpbm header")
+    if kind == 4:
         rows = np.frombuffer(data, np.uint8, line * height, at + 1).reshape(height, line)
         return np.unpackbits(rows, axis=1)[:, :width]
-    else:
-        out = np.frombuffer(data, kind_of, count, at + 1)
-    if out.size != count:
-        raise ValueError("Netpbm image is cut short")
-    return out.reshape(shape)
+    out = np.frombuffer(data, kind_of, count, at + 1).reshape(shape)
+    if top not in (255, 65535) and out.max() > top:
+        raise ValueError("Netpbm sample is over its maximum")
+    return out
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -73,13 +109,19 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("not a BMP image")
     start, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if bits not in (8, 24, 32) or packed not in (0, 3) or width <= 0:
-        raise ValueError(f"BMP of {bits} bits, compression {packed}: not handled")
+    if bits not in (8, 24, 32) or packed not in (0, 3) or width <= 0 or not height:
+        raise ValueError(f"BMP of {bits} bits, compression {packed}, {width} x {height}: not handled")
     line, rows = (width * bits + 31) // 32 * 4, abs(height)
+    if start + line * rows > len(data):
+        raise ValueError("BMP image is cut short")
     raw = np.frombuffer(data, np.uint8, line * rows, start).reshape(rows, line)
     if bits == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
+        if used > 256 or 14 + head + 4 * used > len(data):
+            raise ValueError("bad BMP palette")
         palette = np.frombuffer(data, np.uint8, used * 4, 14 + head).reshape(used, 4)[:, 2::-1]
+        if raw[:, :width].max() >= used:
+            raise ValueError("BMP sample is not in its palette")
         out = palette[raw[:, :width]]
     else:
         out = raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
@@ -145,7 +187,7 @@ def media_tiles(df: DataFrame, key: str, media: str, side: int = TILE) -> DataFr
                 try:
                     image = decode(data or b"")
                     rows.append((image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, difference_hash(image), npy_tile(image, side), None))
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OverflowError, struct.error) as e:  # the file is at fault, not the job
                     rows.append((None, None, None, None, None, str(e)))
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())

@@ -45,6 +45,57 @@ def test_netpbm_kinds():
             media.decode(bad)
 
 
+HOSTILE = [
+    b"P5 99999999999 99999999999 255\n", b"P5 999999999 999999999 255\nx", b"P2 1 1 255 99999999999999999999", b"P2 2 1 9 3 10", b"P1 2 2 1 7 0 1", b"P2 1 1 255 -3", b"P2 1 1 255 x",
+    b"P5 0 0 255\n", b"P5 0 4 255\n", b"P4 0 1\n", b"P5\n1 1\n255", b"P5 1 1 99\n\xff", b"P6 1 1 70000\nxxx", b"P3 1 1 255 1 2", b"P4 9 9\n\0", b"P5 " + b"9" * 5000 + b" 1 255\n",
+]
+
+
+def damaged_bmps():
+    whole = bytearray(media.encode_bmp(np.full((4, 5, 3), 9, np.uint8)))
+    for at, value in ((10, b"\xff\xff\xff\xff"), (18, b"\xff\xff\xff\x7f"), (22, b"\xff\xff\xff\x7f"), (22, b"\0\0\0\0"), (22, b"\0\0\0\x80"), (28, b"\x08\0"), (28, b"\x01\0")):
+        out = bytearray(whole)
+        out[at : at + len(value)] = value
+        yield bytes(out)
+    yield bytes(whole[:60])
+
+
+@pytest.mark.parametrize("data", [*HOSTILE, *damaged_bmps()])
+def test_hostile_headers_are_refused(data):
+    with pytest.raises((ValueError, OverflowError)):
+        media.decode(data)
+
+
+def test_hostile_images_are_error_rows(spark):
+    bad = [*HOSTILE, *damaged_bmps()]
+    good = media.encode_pgm(np.full((3, 3), 5, np.uint8))
+    rows = media.media_tiles(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate([*bad, good])], "k int, m binary").repartition(2), "k", "m").orderBy("k").collect()
+    assert len(rows) == len(bad) + 1 and all(r["error"] and r["npy"] is None and r["height"] is None for r in rows[:-1]) and rows[-1]["error"] is None and rows[-1]["height"] == 3
+
+
+@given(st.binary(max_size=60))
+def test_any_bytes_are_decoded_or_refused(junk):
+    for head in (b"", b"P1 ", b"P2 2 2 9 ", b"P5 2 2 255\n", b"P6 1 1 255 ", b"BM"):
+        try:
+            assert media.decode(head + junk).size
+        except ValueError:
+            pass
+
+
+def plain_feature(text):
+    """The difference hash of a text's payload, 64 samples a row, from exact areas."""
+    raw = (text or "").encode()
+    raw += bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+    cells = np.round(area(np.frombuffer(raw, np.uint8).reshape(-1, 64), 8, 9), 6)
+    return f"{int(''.join(str(int(cells[y, x + 1] > cells[y, x])) for y in range(8) for x in range(8)), 2):016x}"
+
+
+@given(st.text(max_size=900))
+def test_feature_against_exact_areas(text):
+    payload, _ = media.payload_of(text)
+    assert media.difference_hash(media.decode(media.encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, 64)))) == plain_feature(text)
+
+
 def test_bmp_round_trip():
     rgb = np.random.default_rng(2).integers(0, 256, (5, 3, 3)).astype(np.uint8)
     assert (media.decode(media.encode_bmp(rgb)) == rgb).all()
@@ -65,6 +116,8 @@ def test_text_media(edge, empty):
         stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest()) and len(r["feature"]) == 16
+        if n < 2000:
+            assert r["feature"] == plain_feature(texts[r["doc_id"]])
     by_text = {}
     for r in rows:
         assert by_text.setdefault(texts[r["doc_id"]] or "", r[1:]) == r[1:]
