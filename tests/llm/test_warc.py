@@ -78,3 +78,50 @@ def test_chunk_extensions_and_damage():
     for bad in (b"5\r\nabc", b"zz\r\n", b""):
         with pytest.raises(ValueError):
             warc.dechunked(bad)
+
+
+@pytest.mark.parametrize("size", [b"-6", b"+3", b"0x3", b"1_0", b"", b"g", b"9" * 40])
+def test_bad_chunk_sizes_end(size):
+    with pytest.raises(ValueError):
+        warc.dechunked(b"3\r\nabc\r\n" + size + b"\r\n")
+
+
+def test_damaged_archives_are_error_rows(spark):
+    one, two = (segments(x * 100, 1 << 20)[0] for x in ("first", "second"))
+    both = one + two
+    cases = {
+        "cut short": (both[:-10], 1, 1),
+        "junk between": (one + b"junk\r\n" + two, 2, 1),
+        "junk before": (b"\0\1\2", 0, 1),
+        "no length": (one.replace(b"Content-Length:", b"X:", 1) + two, 1, 1),
+        "long length": (one.replace(b"Content-Length: ", b"Content-Length: 9", 1) + two, 0, 1),
+        "huge length": (one.replace(b"Content-Length: ", b"Content-Length: 99999999999999999999", 1), 0, 1),
+        "negative chunk": (one.replace(b"chunked\r\n\r\n1f4", b"chunked\r\n\r\n-f4", 1) + two, 1, 1),
+        "bad page": (one.replace(b"Page-ID: 7", b"Page-ID: x", 1) + two, 1, 1),
+        "bad digest": (one.replace(b"sha1:", b"sha1:!", 1) + two, 1, 1),
+        "other digest": (one.replace(b"sha1:", b"md5:", 1) + two, 2, 0),
+        "not text": (one.replace(b"WARC-Date: ", b"\xff\xfe: ", 1) + two, 2, 0),
+        "gzip cut short": (gzip.compress(one) + gzip.compress(two)[:-20], 1, 1),
+        "gzip broken": (gzip.compress(one) + b"\x1f\x8bjunk", 1, 1),
+        "empty": (b"", 0, 0),
+    }
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, (v, *_) in cases.items()] + [("null", None)], "name string, content binary")
+    assert warc.read_records(rows).filter("error is null").count() == sum(n for _, n, _ in cases.values())
+    for name, (data, good, bad) in cases.items():
+        got = warc._batch([warc._told(*f, True) for f in warc.scan_archive(data)]).to_pylist()
+        assert (sum(r["error"] is None for r in got), sum(r["error"] is not None and r["payload"] is None for r in got)) == (good, bad), name
+
+
+def test_hostile_segments_are_told(spark):
+    parts = segments("abc" * 400)
+    number = lambda n: [parts[0], parts[1].replace(b"Segment-Number: 2", b"Segment-Number: " + n)]
+    for records in (number(b"99999999999999999"), number(b"x"), number(b"-1"), number(b"9" * 30), [parts[1].replace(b"WARC-Segment-Origin-ID", b"X")], [*parts[:-1], parts[-1].replace(b"Total-Length: ", b"Total-Length: x")]):
+        rows = read(spark, records)
+        assert rows and all(r["error"] and r["payload"] is None for r in rows)
+
+
+@given(st.binary(max_size=200), st.integers(0, 600))
+def test_no_archive_stops_the_reader(junk, at):
+    whole = segments("abc" * 100, 1 << 20)[0]
+    for data in (junk, whole[:at] + junk + whole[at:], gzip.compress(whole)[:at] + junk):
+        assert all(isinstance(warc._told(*found, True), tuple) for found in warc.scan_archive(data))
