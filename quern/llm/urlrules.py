@@ -2,8 +2,8 @@
 
 A rule has a host and the beginning of a path; it fits its host and all subdomains.
 Each distinct host and path is expanded into host-suffix and path-prefix
-expressions (prefixes of those lengths only that rules have), expressions and rules
-meet by the first hexadecimal digits of their SHA-256, and the full digests are
+expressions (prefixes of those lengths only that rules have, or of all lengths where the
+rules have very many), expressions and rules meet by the first hexadecimal digits of their SHA-256, and the full digests are
 compared. Of the rules that fit, the longest wins (host and path together; then the
 longer host; then block before allow).
 
@@ -29,6 +29,8 @@ ALLOW, BLOCK = "allow", "block"
 PREFIX_DIGITS = 8
 #: Rules up to which they are broadcast: a few hundred bytes each.
 BROADCAST_RULES = 50_000
+#: Distinct lengths of rules' paths up to which paths are expanded to these only; beyond it to every length that they have.
+MOST_LENGTHS = 256
 
 
 def host_of(url: Column) -> Column:
@@ -42,11 +44,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _expressions(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every suffix of the host at a dot, with every prefix of the path that is as long as a rule's."""
+def _expressions(host: Column, path: Column, lengths: list[int] | None) -> Column:
+    """Every suffix of the host at a dot, with every prefix of the path that is as long as a rule's, or of any length without a list."""
     labels = F.split(host, r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    prefixes = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    if lengths is None:
+        prefixes = F.transform(F.sequence(F.lit(0), F.char_length(path)), lambda n: F.substring(path, F.lit(1), n))
+    else:
+        prefixes = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, F.lit("\n"), p))))
 
 
@@ -54,11 +59,12 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """key, host, path, rule, verdict for every row of ``pages``; ``rules`` has host, path and action."""
     rules = rules.filter("host is not null and path is not null and action is not null").select("host", "path", "action").distinct()
     many = rules.count()
-    lengths = sorted(r[0] for r in rules.select(F.char_length("path")).distinct().limit(10_000).collect())
+    known = [r[0] for r in rules.select(F.char_length("path")).distinct().limit(MOST_LENGTHS + 1).collect()]
+    lengths = sorted(known) if len(known) <= MOST_LENGTHS else None
     digest = F.sha2(F.concat("host", F.lit("\n"), "path"), 256)
     known = rules.select(F.substring(digest, 1, PREFIX_DIGITS).alias("short"), digest.alias("rule_digest"), F.struct(F.char_length(F.concat("host", "path")).alias("both"), F.char_length("host").alias("host_length"), (F.col("action") == BLOCK).cast("int").alias("block"), F.concat("host", "path").alias("rule"), "action").alias("found"))
     rows = pages.select(key, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    if not lengths:
+    if not many:
         return rows.select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     asked = rows.select("host", "path").distinct()
     asked = asked.select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), lengths)).alias("expression"))

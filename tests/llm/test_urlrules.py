@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from quern.llm import urlrules
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("a.b", "", "block"), ("", "", "block"), ("x", "/é", "block"), ("x", "/é", "allow"), (None, "/", "block")]
@@ -36,3 +38,18 @@ def test_many_rules_join_by_shuffle(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     rows = urlrules.judge(pages, spark.createDataFrame(RULES, "host string, path string, action string")).collect()
     assert all(tuple(r)[1:] == brute(URLS[r["page_id"]], RULES) for r in rows)
+
+
+def test_more_path_lengths_than_are_listed(spark):
+    """Rules of 12,000 different path lengths: the longest that fits wins, whatever their number."""
+    rules = spark.range(12_000).select(F.lit("long.org").alias("host"), F.concat(F.lit("/"), F.repeat(F.lit("a"), F.col("id").cast("int"))).alias("path"), F.when(F.col("id") % 2 == 0, "allow").otherwise("block").alias("action"))
+    pages = spark.createDataFrame([(n, "http://x.long.org/" + "a" * n + "b?q") for n in (0, 1, 255, 256, 257, 1_001)], "page_id long, url string")
+    for r in urlrules.judge(pages, rules).collect():
+        assert r["rule"] == "long.org/" + "a" * r["page_id"] and r["verdict"] == ("allow", "block")[r["page_id"] % 2]
+
+
+def test_every_length_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(urlrules, "MOST_LENGTHS", 1)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    rows = urlrules.judge(pages, spark.createDataFrame(RULES, "host string, path string, action string")).collect()
+    assert all(tuple(r)[1:] == brute(URLS[r["page_id"]], RULES) for r in rows)
