@@ -1,7 +1,7 @@
 """Language identification of mixed-language text.
 
-A word's script narrows its candidates to the languages that are written in it;
-hashed character trigrams, word ends included, score each candidate; Viterbi over
+A word's script narrows its candidates to the languages that are written in it (to all
+where none is); hashed character trigrams, word ends included, score each candidate; Viterbi over
 the words, with a penalty for each switch, labels spans. A document's language is
 the one whose spans have most letters.
 
@@ -12,7 +12,8 @@ The labels are those of one search over the whole text.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and has
 no spans; without any labelled row every text is; ties go to the language that
-sorts first; repeated rows give equal rows.
+sorts first; repeated rows give equal rows; an empty table gives an empty one; extra
+columns are ignored, or kept by ``keep_identified``.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BUCKETS = 1 << 16
 #: Labelled rows that a model is fitted on: a bounded sample by the hash of the key.
 SAMPLE_ROWS = 20_000
 SWITCH_PENALTY = 12.0
-#: What a language loses on a word of a script that it isn't written in.
+#: What a language that a word's script excludes loses on it in the score of the whole text.
 FOREIGN_SCRIPT = 60.0
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.01
@@ -62,10 +63,18 @@ def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at, (h >> np.uint64(48)).astype(np.int64), first, last
 
 
+def label_kind(k: int) -> type:
+    """The smallest unsigned type that holds k labels."""
+    return np.min_scalar_type(max(k - 1, 0)).type
+
+
 def viterbi(score: np.ndarray, begins: np.ndarray, penalty: float) -> np.ndarray:
-    """The best label of each word of each text: ``score`` is words x labels, text i has the words begins[i] to begins[i + 1]."""
+    """The best label of each word of each text: ``score`` is words x labels, text i has the words begins[i] to begins[i + 1].
+
+    A label that a word cannot have has the score minus infinity; every word can have one at least.
+    """
     n, k = score.shape
-    label = np.zeros(n, np.uint8)
+    label = np.zeros(n, kind := label_kind(k))
     many = np.diff(begins)
     segs = -(-many // SEGMENT)
     text = np.repeat(np.arange(len(many)), segs)
@@ -78,13 +87,13 @@ def viterbi(score: np.ndarray, begins: np.ndarray, penalty: float) -> np.ndarray
     by_size, starts = size[order], first[order]
     v = np.full((len(order), k, k), -np.inf, np.float32)
     v[:, np.arange(k), np.arange(k)] = 0
-    back, states = [], np.arange(k, dtype=np.uint8)
+    back, states = [], np.arange(k, dtype=kind)
     for t in range(by_size[0]):
         live = int(np.searchsorted(-by_size, -t, "left"))
         now = v[:live]
         top = now.max(axis=2, keepdims=True) - np.float32(penalty)
         moved = now < top
-        back.append(np.where(moved, now.argmax(axis=2).astype(np.uint8)[:, :, None], states))
+        back.append(np.where(moved, now.argmax(axis=2).astype(kind)[:, :, None], states))
         np.copyto(now, top, where=moved)
         now += score[starts[:live] + t][:, None, :]
     through = np.empty_like(v)
@@ -97,10 +106,10 @@ def viterbi(score: np.ndarray, begins: np.ndarray, penalty: float) -> np.ndarray
     for j in range(int(by_segs[0])):
         live = int(np.searchsorted(-by_segs, -j, "left"))
         ways = cost[:live, :, None] + through[head[:live] + j]
-        came.append(ways.argmax(axis=1).astype(np.uint8))
+        came.append(ways.argmax(axis=1).astype(kind))
         cost[:live] = ways.max(axis=1)
-    entry, exit_ = np.zeros(len(text), np.uint8), np.zeros(len(text), np.uint8)
-    state = cost.argmax(axis=1).astype(np.uint8)
+    entry, exit_ = np.zeros(len(text), kind), np.zeros(len(text), kind)
+    state = cost.argmax(axis=1).astype(kind)
     for j in range(int(by_segs[0]) - 1, -1, -1):
         live = int(np.searchsorted(-by_segs, -j, "left"))
         exit_[head[:live] + j] = state[:live]
@@ -126,10 +135,11 @@ def detect(model: Model, texts: list[str], spans: bool = False) -> tuple[list[st
     size = last - first
     script = scripts()[codes[first]]
     narrowed = model.own[script] | ~model.own[script].any(axis=1, keepdims=True)
-    score = np.add.reduceat(model.gram[gram], np.cumsum(size) - size, axis=0) - np.where(narrowed, np.float32(0), np.float32(FOREIGN_SCRIPT))
-    score -= score.max(axis=1, keepdims=True)
+    score = np.add.reduceat(model.gram[gram], np.cumsum(size) - size, axis=0)
+    score -= np.where(narrowed, score, np.float32(-np.inf)).max(axis=1, keepdims=True)
     words = np.searchsorted(first, begins)  # first word of each text
-    label = viterbi(score, words, SWITCH_PENALTY)
+    label = viterbi(np.where(narrowed, score, np.float32(-np.inf)), words, SWITCH_PENALTY)  # a word is of one of its candidates
+    score = np.where(narrowed, score, np.minimum(score, 0) - np.float32(FOREIGN_SCRIPT))
     of = np.repeat(np.arange(len(texts)), np.diff(words))
     share = np.bincount(of * k + label, weights=size, minlength=len(texts) * k).reshape(-1, k)
     whole = np.stack([np.bincount(of, weights=score[:, c], minlength=len(texts)) for c in range(k)], axis=1)

@@ -1,8 +1,12 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import langid
+from quern.llm import chars, langid
 from quern.llm.common import crc32_is
 
 
@@ -81,3 +85,71 @@ def test_sample_is_bounded(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"), F.lit("en").alias("lang"))
     seen = langid.fit(docs, most=500)
     assert seen.langs == ["en"]
+
+
+def test_more_than_256_languages(spark):
+    """300 languages, each with a word of its own: the labels keep apart."""
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(300)]
+    rows = [(i, f"{w} " * 20, f"l{i:03}") for i, w in enumerate(words)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300
+    langs, scores, spans = langid.detect(model, [t for _, t, _ in rows], spans=True)
+    assert langs == [x for *_, x in rows] == [s[0][2] for s in spans]
+
+
+def plain_detect(rows, text):
+    """The method said plainly: counts in dicts, one word after another."""
+    langs = sorted({x for _, x in rows})
+
+    def bucket(tri):
+        h = sum(ord(c) * k for c, k in zip(tri, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))) % 2**64
+        return (h ^ h >> 33) * 0xFF51AFD7ED558CCD % 2**64 >> 48
+
+    def trigrams(t):
+        low = "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in t)
+        return [(i, bucket(f" {low} "[i : i + 3])) for i in range(len(low)) if t[i].isalpha()]
+
+    def script(c):
+        return next((name for name, ranges in chars.SCRIPT_RANGES if any(a <= ord(c) < b for a, b in ranges)), "other")
+
+    counts, letters = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for t, x in rows:
+        counts[x].update(g for _, g in trigrams(t))
+        letters[x].update(script(c) for c in t if c.isalpha())
+    total = {x: sum(counts[x].values()) + 0.1 * langid.BUCKETS for x in langs}
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text)]
+    if not words:
+        return "und", 0.0
+    grams, table, whole = dict(trigrams(text)), [], np.zeros(len(langs))
+    for a, b in words:
+        score = np.array([sum(math.log((counts[x][grams[i]] + 0.1) / total[x]) for i in range(a, b)) for x in langs])
+        may = np.array([letters[x][script(text[a])] >= langid.SCRIPT_SHARE * max(1, sum(letters[x].values())) for x in langs])
+        may = may if may.any() else np.ones(len(langs), bool)
+        score -= score[may].max()
+        table.append(np.where(may, score, -np.inf))
+        whole += np.where(may, score, np.minimum(score, 0) - langid.FOREIGN_SCRIPT)
+    share = np.zeros(len(langs))
+    for (a, b), label in zip(words, plain_viterbi(np.array(table), langid.SWITCH_PENALTY)):
+        share[label] += b - a
+    best = int(share.argmax())
+    margin = min(50, max(-50, whole[best] - max(np.delete(whole, best), default=-np.inf)))
+    return langs[best], share[best] / share.sum() / (1 + math.exp(-margin))
+
+
+def test_against_the_plain_form(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars < 1500").orderBy("doc_id").collect()
+    rows = [(r["text"], r["lang"]) for r in docs[:60] if r["lang"]] + [("мама мыла раму и ушла", "ru"), ("ένα δύο τρία", "el")]
+    model = langid.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
+    texts = [r["text"] or "" for r in docs[60:130]] + ["", "12 !", "мама the cat", "漢字", docs[0]["text"] + " мама мыла раму " + docs[1]["text"], "É\u0301 ß ﬀ x"]
+    langs, scores, _ = langid.detect(model, texts)
+    for text, lang, score in zip(texts, langs, scores):
+        want, sure = plain_detect(rows, text)
+        assert lang == want and score == pytest.approx(sure, abs=2e-3), text
+
+
+def test_a_script_excludes(spark):
+    """However many Latin words stand around it, a Cyrillic word is not labelled with a language written in Latin letters only."""
+    rows = spark.createDataFrame([(1, "мама мыла раму", "ru"), (2, "the cat sat on the mat", "en")], "doc_id long, text string, lang string")
+    spans = langid.detect(langid.fit(rows), ["the cat sat " * 5 + "ы " + "on the mat " * 5], spans=True)[2][0]
+    assert [x for *_, x in spans] == ["en", "ru", "en"]
