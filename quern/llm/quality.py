@@ -12,7 +12,8 @@ reads every whole text where it is stored, without a shuffle.
 
 Defined cases: a null text is empty and gets a score as any other; null metadata
 counts as the mean; without labelled rows every score is 0.5; of conflicting labels
-of one key the lowest counts; repeated rows give equal rows.
+of one key the lowest counts; repeated rows give equal rows; an empty table gives an
+empty one; extra columns are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ WORD_BUCKETS = 1 << 15
 RANK = 8
 #: Labelled rows that the machine is fitted on at most.
 SAMPLE_ROWS = 12_000
+#: Distinct words of a text that fitting looks at at most, those of the lowest buckets (as good as random ones): with
+#: SAMPLE_ROWS it bounds what the driver gets, 50 MB whatever the texts. Scoring looks at all words.
+FIT_WORDS = 2_048
 EPOCHS = 8
 BATCH = 256
 KEEP_FROM = 0.3
@@ -180,7 +184,8 @@ def score_texts(machine: Machine, texts: list[str], metadata: np.ndarray) -> np.
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_id", text: str = "text", metadata: Sequence[str] = ("n_chars",), label: str = "quality", most: int = SAMPLE_ROWS) -> Machine:
     """A machine fitted on at most ``most`` of the labelled documents for which ``learn_from`` holds.
 
-    The labels chosen are at most ``most`` rows, so they are broadcast; features of as many rows reach the driver.
+    The labels chosen are at most ``most`` rows, so they are broadcast; features of as many rows, FIT_WORDS words each at
+    most, reach the driver.
     """
     chosen = labels.filter(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64(key), key).limit(most)
@@ -191,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, key: str = "doc_
             texts, table = texts_of(batch, text), _metadata(batch, metadata)
             for a, b in blocks(texts):
                 begins, bucket, weight, stats = features(texts[a:b], table[a:b])
-                words = [bucket[p:q].astype("<u2").tobytes() for p, q in zip(begins, begins[1:])]
+                words = [bucket[p : min(q, p + FIT_WORDS)].astype("<u2").tobytes() for p, q in zip(begins, begins[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), batch.column("__y").slice(a, b - a), pa.array(words, pa.binary()), pa.array(list(stats), pa.list_(pa.float64()))], names=[key, "y", "words", "stats"])
 
     kind = docs.schema[key].dataType.simpleString()

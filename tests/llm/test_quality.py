@@ -66,3 +66,13 @@ def test_sample_is_bounded_and_repeatable(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     a, b = (quality.fit(docs.repartition(n), labels, ~crc32_is("doc_id", 5, 0), most=40) for n in (1, 5))
     assert np.allclose(a.factors, b.factors) and a.bias == b.bias
+
+
+def test_fitting_takes_a_bounded_number_of_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_WORDS", 50)
+    docs = spark.createDataFrame([(i, " ".join(f"{'good' if i % 2 else 'bad'}{j}" for j in range(400)), 0) for i in range(40)], "doc_id long, text string, n_chars long")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    machine = quality.fit(docs, labels, F.lit(True))
+    assert np.count_nonzero(machine.linear[: quality.WORD_BUCKETS]) <= 100
+    rows = quality.score(docs, machine, F.lit(False)).collect()
+    assert all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in rows)
