@@ -11,6 +11,8 @@ from quern.functions import urls as U
 
 #: Order keys of one section; more pieces than this would meet the next section's.
 SECTION_STEP = 1000
+#: Characters of a string that is the last key of an order by which its ranges are chosen.
+RANGE_CHARS = 64
 
 
 def pieces(df: DataFrame, text: str = "text", cap: int = T.CHUNK_CAP, least: int = 0, stripped: bool = True) -> DataFrame:
@@ -42,14 +44,19 @@ def in_corpus_order(rows: DataFrame, *keys: str) -> DataFrame:
 
     Rows are dealt out by ranges of the keys and written with their range and their place in it, so that
     the counts and the result come from the same ranges, whatever the planner makes of them. What is put in
-    order over all is a count for each range. Rows with equal keys go in any order, and may be split over ranges.
+    order over all is a count for each range. Rows with equal keys go in any order, and may be split over ranges
+    (not if the last key is a string of more than RANGE_CHARS characters). The sample of the keys by which ranges
+    are chosen reaches the driver, so of a string at the end it has RANGE_CHARS characters only.
     """
     spark = rows.sparkSession
     stored = scratch.path(spark, "unordered")
     rows.write.mode("overwrite").parquet(stored)  # ranges are sampled first: what the rows are made from runs once
-    order = [*keys, "__tie"]
-    ranged = spark.read.schema(rows.schema).parquet(stored).withColumn("__tie", F.monotonically_increasing_id())
-    ranged = ranged.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie").withColumn("__part", F.spark_partition_id())
+    tie, bounds = F.monotonically_increasing_id(), list(keys)
+    if rows.schema[keys[-1]].dataType.simpleString() == "string":
+        bounds[-1:] = ["__cut"]
+        tie = F.when(F.coalesce(F.length(keys[-1]), F.lit(0)) <= RANGE_CHARS, tie)
+    ranged = spark.read.schema(rows.schema).parquet(stored).withColumns({"__cut": F.substring(F.col(keys[-1]).cast("string"), 1, RANGE_CHARS), "__tie": tie})
+    ranged = ranged.repartitionByRange(*bounds, "__tie").sortWithinPartitions(*keys).drop("__cut", "__tie").withColumn("__part", F.spark_partition_id())
     ranged = scratch.written(ranged.withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ordered")
     scratch.drop(spark, stored)
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
