@@ -1,15 +1,18 @@
-"""Best-fit packing of tokenised documents into sequences, with a bounded number of open bins.
+"""Bounded-space online best-fit packing of tokenised documents into sequences.
 
 Documents are tokenised where they are read; only longer ones are cut. What is
 shuffled is a few numbers a piece, never text or tokens: pieces are dealt evenly
 over as many tasks as their tokens ask for, whatever their source, and each task
-takes its pieces longest first. The open bins' free spaces are a bitset (bit f:
-there is a bin with f tokens free), so the tightest bin that still takes a piece
-is found by a shift and the lowest set bit. When all bins are open, the fullest
-closes.
-
-Defined cases: a null or empty text is its end token alone; repeated rows are
-packed as often as they are there; an empty table gives no pieces.
+takes its pieces as they come, by document. The open bins' free spaces are a bitset
+(bit f: there is a bin with f tokens free), so the tightest bin that still takes a
+piece is found by a shift and the lowest set bit. OPEN_BINS are open at a time; when
+one more is needed, the fullest closes for good. Pieces wait in a buffer of LOOK_AHEAD,
+which is placed longest first when it is full; a buffer of one is strictly online and
+makes about 1 % more sequences.
+
+Defined cases: a null or empty text is its end token alone; the strings of the tokenizer's
+special tokens are these tokens, as the library reads them; repeated rows are packed as
+often as they are there; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from tokenizers import Tokenizer, pre_tokenizers
 from quern.llm.common import arrow_map, blocks, checkpointed, texts_of
 
 CAPACITY = 2048
-#: Bins open at a time in a task.
-OPEN_BINS = 32_768
+#: Bins open at a time in a task; a task makes about 20 times as many.
+OPEN_BINS = 1_024
+#: Pieces that wait to be placed at a time.
+LOOK_AHEAD = 1_024
 #: Tokens that one packing task takes; its last open bins are all that it can waste.
 TASK_TOKENS = 40_000_000
 #: Distinct words whose ids a worker keeps; beyond it the table starts anew.
@@ -46,7 +51,7 @@ class Words:
     """Ids of texts by a tokenizer that lower-cases, drops white space and splits at ``PATTERN``: each distinct part is encoded once.
 
     Words are parted at spaces and line feeds only, which no token, composition or pattern of the tokenizer spans.
-    Where a text has plain characters only, lower-casing and splitting it here is what the tokenizer would do, so
+    Where a text has plain characters and no special token only, lower-casing and splitting it here is what the tokenizer would do, so
     forms of one word share their entry; else words go to the tokenizer as they are.
     """
 
@@ -58,11 +63,13 @@ class Words:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: texts for the tokenizer itself: with characters beyond plain ones, or with the strings of its special tokens, which it finds
+        self.odd = re.compile("|".join([self.other.pattern, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
         #: the same model for parts that are already lower-cased and split
         self.of_parts = Tokenizer(self.library.model)
         self.of_parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.kept: dict[str, bytes] = {}
+        #: ids of words of plain texts and of others: a lower-cased word may look like a special token
+        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
@@ -73,7 +80,7 @@ class Words:
             into[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
     def _learn(self, plain: list[str], other: list[str]) -> None:
-        self._encode(self.library, other, self.kept)
+        self._encode(self.library, other, self.kept[1])
         split = list(map(self.part.findall, plain))
         new = {p for own in split for p in own if p not in self.parts}
         if len(self.parts) + len(new) > PARTS_KEPT:
@@ -81,24 +88,24 @@ class Words:
         self._encode(self.of_parts, list(new), self.parts)
         table = self.parts
         for word, own in zip(plain, split):
-            self.kept[word] = b"".join([table[p] for p in own])
+            self.kept[0][word] = b"".join([table[p] for p in own])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for a, b in blocks(texts):
-            words: list[list[str]] = []
+            words: list[tuple[bool, list[str]]] = []
             distinct: tuple[set[str], set[str]] = set(), set()
             for text in texts[a:b]:
-                odd = bool(self.other.search(text))
-                words.append(self.word.findall(text if odd else text.lower()))
-                distinct[odd].update(words[-1])
-            new = [[w for w in d if w not in self.kept] for d in distinct]
-            if len(self.kept) + len(new[0]) + len(new[1]) > WORDS_KEPT:
-                self.kept, new = {}, [list(d) for d in distinct]
+                odd = bool(self.odd.search(text))
+                words.append((odd, self.word.findall(text if odd else text.lower())))
+                distinct[odd].update(words[-1][1])
+            new = [[w for w in d if w not in kept] for d, kept in zip(distinct, self.kept)]
+            if sum(map(len, (*self.kept, *new))) > WORDS_KEPT:
+                self.kept, new = ({}, {}), [list(d) for d in distinct]
             self._learn(*new)
             kept = self.kept
-            out += [b"".join([kept[w] for w in own]) for own in words]
+            out += [b"".join([kept[odd][w] for w in own]) for odd, own in words]
         return out
 
 
@@ -163,11 +170,27 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
     return arrow_map(df.select(key, text), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def place(found: DataFrame, capacity: int = CAPACITY, most: int = OPEN_BINS, task_tokens: int = TASK_TOKENS) -> DataFrame:
+def buffers(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a stream of batches, ``size`` at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, size - rows))
+            at, rows = at + held[-1].num_rows, rows + held[-1].num_rows
+            if rows == size:
+                yield pa.concat_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def place(found: DataFrame, capacity: int = CAPACITY, most: int = OPEN_BINS, task_tokens: int = TASK_TOKENS, ahead: int = LOOK_AHEAD) -> DataFrame:
     """Adds sequence_id and offset to rows that have a length of 1 to ``capacity``.
 
     ``found`` is read twice (its total, then its rows), so it should be checkpointed or written.
-    Rows are dealt evenly, not by a key, and sorted by all columns, so that a task which runs again gives the same.
+    Rows are dealt evenly, not by a key, and come by their other columns, so that a task which runs again gives the same.
     """
     total = found.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, round(total / task_tokens))
@@ -175,15 +198,18 @@ def place(found: DataFrame, capacity: int = CAPACITY, most: int = OPEN_BINS, tas
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenBins(capacity, most), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            at = np.array([bins.put(n) for n in batch.column(length).to_pylist()], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0] + base), pa.array(at[:, 1])], names=[*batch.schema.names, "sequence_id", "offset"])
+        for held in buffers(batches, ahead):
+            lengths = held.column(length).to_numpy()
+            at = np.empty((len(lengths), 2), np.int64)
+            for i in np.argsort(-lengths, kind="stable").tolist():
+                at[i] = bins.put(int(lengths[i]))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(at[:, 0] + base), pa.array(at[:, 1])], names=[*held.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    order = [F.desc("length"), *(c for c in found.columns if c not in ("length", "ids"))]
+    order = [c for c in found.columns if c not in ("length", "ids")]
     return arrow_map(found.repartition(tasks).sortWithinPartitions(*order), run, schema)
 
 
-def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, most: int = OPEN_BINS, ahead: int = LOOK_AHEAD) -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document stands."""
-    return place(checkpointed(pieces(df, path, key, text, capacity, with_ids)), capacity)
+    return place(checkpointed(pieces(df, path, key, text, capacity, with_ids)), capacity, most, ahead=ahead)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -98,3 +99,51 @@ def test_many_tasks_and_ids(spark):
     assert len({r["sequence_id"] >> 40 for r in rows}) > 2
     check(rows, {r["doc_id"]: (r["text"], 1) for r in docs.collect()}, 2048)
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+
+
+def test_special_strings_as_the_plain_library_reads_them(spark):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["<|endoftext|>", "A b<|endoftext|>c  <|startoftext|>", "<|ENDOFTEXT|>", "é <|endoftext|>\n\nDon't", "<|endoftext", "<|endoftext|><|endoftext|> x", "plain Words"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [49407]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.tokenizer(PATH).encode_all(texts)] == want
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, with_ids=True).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows} == {i: [*x, 0] for i, x in enumerate(want)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endoftext|", "Ab", "é", " ", "\n", "'s", "1"]), max_size=8).map("".join))
+def test_special_strings_anywhere(text):
+    assert np.frombuffer(packing.tokenizer(PATH).encode_all([text])[0], "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def in_buffers(lengths, ahead):
+    """As they come, each buffer longest first."""
+    return [n for i in range(0, len(lengths), ahead) for n in sorted(lengths[i : i + ahead], reverse=True)]
+
+
+@pytest.mark.parametrize("most,ahead", [(2, 1), (2, 50), (5, 7), (packing.OPEN_BINS, 1)])
+def test_bins_close_in_packing(spark, most, ahead):
+    """One task and few open bins: as many sequences as the plain form makes of the pieces as they come."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack_documents(docs, PATH, most=most, ahead=ahead).collect()
+    made = check(rows, {r["doc_id"]: (r["text"], 1) for r in docs.collect()}, 2048)
+    lengths = in_buffers([r["length"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"]))], ahead)
+    assert made == plain_best_fit(lengths, 2048, most)[0]
+    if most == 2:
+        assert made > plain_best_fit(lengths, 2048, 1 << 20)[0]
+
+
+def test_bound_of_production_binds(spark):
+    """2,048 pieces that each leave room for one of the 2,048 that follow: only those in open bins are filled up."""
+    lengths = [1500] * 2048 + [548] * 2048
+    found = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(4)
+    rows = packing.place(found).collect()
+    assert len({r["sequence_id"] for r in rows}) == plain_best_fit(lengths, 2048, packing.OPEN_BINS)[0] == 2048 + -(-(2048 - packing.OPEN_BINS) // 3)
+
+
+def test_strictly_online(spark):
+    """A buffer of one: what comes first opens the first sequences, whatever its length."""
+    found = spark.createDataFrame([(i, n) for i, n in enumerate([10, 2048, 30, 2000])], "doc_id long, length long")
+    rows = sorted(packing.place(found, ahead=1).collect(), key=lambda r: r["doc_id"])
+    assert [(r["sequence_id"], r["offset"]) for r in rows] == [(0, 0), (1, 0), (0, 10), (0, 40)]
