@@ -13,7 +13,8 @@ times powers of an odd number, modulo 2 ** 64.
 
 Defined cases: a null text is empty; an empty text has empty signatures and likeness
 1 to another empty one, else 0; equal texts have equal fingerprints and likeness 1;
-repeated rows give equal rows; texts of any length are read whole.
+repeated rows give equal rows; texts of any length are read whole; an empty table gives
+an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_map, blocks
+from quern.llm.common import arrow_map, blocks, written
 
 WINDOW = 7
 #: Characters of a signature at most.
@@ -208,42 +210,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return arrow_map(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, fingerprint string")
 
 
-#: Documents of one range of ids, about, and ranges at most.
-RANGE_ROWS, MOST_RANGES = 1_000, 4_096
 #: Characters of consecutive texts that a task holds, about.
 HELD_CHARS = 3_000_000
-_FAN = 64
-
-
-def _range_of(key: str, bounds: list) -> Column:
-    """How many of the ascending bounds are not above the key, by way of every _FAN-th of them; past all for null."""
-    if not bounds:
-        return F.lit(0)
-    upto = lambda table: F.size(F.filter(table, lambda b: b <= F.col(key)))
-    coarse = F.array(*map(F.lit, bounds[_FAN - 1 :: _FAN])) if len(bounds) >= _FAN else F.lit(None).cast("array<long>")
-    fine = F.array(*[F.array(*map(F.lit, bounds[i : i + _FAN])) for i in range(0, len(bounds), _FAN)])
-    many = F.coalesce(F.when(F.lit(len(bounds) >= _FAN), upto(coarse)), F.lit(0))
-    return F.when(F.col(key).isNull(), len(bounds)).otherwise(many * _FAN + F.coalesce(F.when(F.get(fine, many).isNotNull(), upto(F.get(fine, many))), F.lit(0)))
-
-
-def _in_order(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(part, ahead, key, text): ranges of keys, sorted within partitions; a range ends with the next one's first row (ahead = 1).
-
-    After the last range comes the first. Equal keys go by text, null keys last. The driver
-    holds two numbers for each of MOST_RANGES ranges at most; texts are shuffled once.
-    """
-    parts = min(MOST_RANGES, max(1, round(df.count() / RANGE_ROWS)))
-    cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 4 * MOST_RANGES)).first()[0] if parts > 1 else None
-    part = _range_of(key, sorted(set(cuts or []))).cast("int")
-    heads = sorted(df.groupBy(part.alias("part")).agg(F.min(key).alias("head")).collect())
-    before = [(heads[i]["head"], heads[i - 1]["part"]) for i in range(len(heads))]
-    kind = df.schema[key].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(before, f"head {kind}, before int")
-    rows = df.select(part.alias("own"), F.col(key), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(table), F.col(key).eqNullSafe(F.col("head")), "left")
-    place = lambda part, ahead: F.struct(F.col(part).alias("part"), F.lit(ahead).alias("ahead"))
-    rows = rows.select(F.explode(F.when(F.col("before").isNull(), F.array(place("own", 0))).otherwise(F.array(place("own", 0), place("before", 1)))).alias("place"), key, "text")
-    rows = rows.select("place.part", "place.ahead", key, "text")
-    return rows.repartition("part").sortWithinPartitions("part", "ahead", F.asc_nulls_last(key), "text")
 
 
 def edited(own: str, following: str) -> str:
@@ -252,47 +220,76 @@ def edited(own: str, following: str) -> str:
     return own[: len(own) - half] + following[:half]
 
 
+_TOLD = [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+TOLD = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _held_against_next(keys: list, texts: list[str], after: list[str], kind: pa.DataType) -> Iterator[tuple[list[pa.Array], int]]:
+    """Columns of key and _TOLD, with their length, for texts and the text that comes after each."""
+    for a, b in blocks(texts):
+        own, following = texts[a:b], after[a:b]
+        changed = [edited(t, n).encode() for t, n in zip(own, following)]
+        prints, new = signatures([t.encode() for t in own]), signatures(changed)
+        # most texts come after the one before them, and have their fingerprint already
+        known = dict(zip(own, prints))
+        rest = [t for t in following if t not in known]
+        known.update(zip(rest, signatures([t.encode() for t in rest])))
+        values = [list(map(len, own)), [hashlib.sha256(t).hexdigest() for t in changed], prints, new, [likeness(p, q) for p, q in zip(prints, new)], [likeness(p, known[t]) for p, t in zip(prints, following)]]
+        yield [pa.array(keys[a:b], kind), *(pa.array(v, t) for v, (_, t) in zip(values, _TOLD))], b - a
+
+
 def edited_likeness(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint held against that of its edited text and of the next document by ascending key.
 
-    Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. After the last document comes the first. Texts are shuffled once, by
-    ranges of keys; the first row of each range goes to the range before as well.
+    Columns: key and TOLD. After the last document comes the first. Keys are of any type that can
+    be ordered, null ones come last, and rows with one key go by the hash of their text. Texts are
+    shuffled once, by ranges of keys; a range's first and last text are set aside, and the last of
+    each range then meets the first of the next: two texts a range, and no limit to the ranges.
     """
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-    def told(keys: list, texts: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        """Rows for all but the last of consecutive texts."""
-        for a, b in blocks(texts[:-1]):
-            own, after = texts[a:b], texts[a + 1 : b + 1]
-            changed = [edited(t, n).encode() for t, n in zip(own, after)]
-            prints, new = signatures([t.encode() for t in texts[a : b + 1]]), signatures(changed)
-            columns = [
-                pa.array(keys[a:b], kind),
-                pa.array(list(map(len, own)), pa.int64()),
-                pa.array([hashlib.sha256(t).hexdigest() for t in changed]),
-                pa.array(prints[:-1]),
-                pa.array(new),
-                pa.array([likeness(p, q) for p, q in zip(prints, new)], pa.float64()),
-                pa.array([likeness(p, q) for p, q in zip(prints, prints[1:])], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *names])
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    order = [F.asc_nulls_last("key"), F.xxhash64("text")]
+    names = ["key", *(n for n, _ in _TOLD), "part", "edge", "text"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ended, keys, texts, held = None, False, [], [], 0
+        """What is told of all texts but the last; the first (edge 0) and the last (edge 1) are passed on."""
+        part, keys, texts, held, first = TaskContext.get().partitionId(), [], [], 0, True
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for columns, n in _held_against_next(keys[:-1], texts[:-1], texts[1:], type_):
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.string()))], names=names)
+
+        def edge(which: int, own: object, body: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own], type_), *(pa.nulls(1, t) for _, t in _TOLD), pa.array([part], pa.int32()), pa.array([which], pa.int32()), pa.array([body], pa.string())], names=names)
+
         for batch in batches:
-            kind = batch.column(key).type
-            for p, ahead, k, t in zip(*(batch.column(c).to_pylist() for c in ("part", "ahead", key, "text"))):
-                if p != part:
-                    part, ended, keys, texts, held = p, False, [], [], 0
-                if ended:  # more rows with the key of the row ahead
-                    continue
+            type_ = batch.column("key").type
+            for k, t in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                if first:
+                    yield edge(0, k, t)
+                    first = False
                 keys.append(k)
                 texts.append(t)
                 held += len(t)
-                if ahead or held > HELD_CHARS:
-                    yield from told(keys, texts, kind)
-                    ended, keys, texts, held = bool(ahead), keys[-1:], texts[-1:], len(t)
+                if held > HELD_CHARS:
+                    yield from told()
+                    keys, texts, held = keys[-1:], texts[-1:], len(t)
+        if texts:
+            yield from told()
+            yield edge(1, keys[-1], texts[-1])
+
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    found = written(arrow_map(ranged, run, f"key {kind}, {TOLD}, part int, edge int, text string"), "fingerprints")
+    firsts = found.filter("edge = 0").select("part", F.col("text").alias("after"))
+    # the range that follows each, by the numbers of the ranges only; the first follows the last
+    parts = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("next"))
+    parts = parts.join(F.broadcast(firsts.agg(F.min("part").alias("least")))).select("part", F.coalesce("next", "least").alias("next"))
+    lasts = found.filter("edge = 1").select("part", "key", "text").join(parts, "part").join(firsts.withColumnRenamed("part", "next"), "next").select("key", "text", "after")
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns, _ in _held_against_next(*(batch.column(c).to_pylist() for c in ("key", "text", "after")), batch.column("key").type):
+                yield pa.RecordBatch.from_arrays(columns, names=names[:-3])
 
-    return arrow_map(_in_order(df, key, text), run, schema)
+    out = found.filter("edge is null").select(*names[:-3]).unionByName(arrow_map(lasts, meet, f"key {kind}, {TOLD}"))
+    return out.select(F.col("key").alias(key), *(n for n, _ in _TOLD))
