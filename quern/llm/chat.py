@@ -19,7 +19,8 @@ conversation itself is.
 Defined cases: null texts and roles are empty; a parent that is missing makes a root;
 messages on a loop of parents, and below it, are in no path; of equal scores the
 least leaf wins; turns with equal numbers go by role, then text; repeated rows are
-turns as often as they are there; an empty table gives an empty result.
+turns as often as they are there; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import checkpointed
+from quern.operators.chunking import in_corpus_order
 
 OPEN, CLOSE = "<|turn|>", "<|done|>"
 #: Strings of this and other templates that never stand in a text unescaped.
@@ -115,12 +117,16 @@ def format_paths(paths: DataFrame, messages: DataFrame, keys: list[str]) -> Data
 
 
 def conversations_as_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """(tree, node, parent, score, role, text) of conversations whose turns answer each other in order."""
-    order = Window.partitionBy(conv).orderBy(turn, "role", "text")
-    name = F.coalesce(F.col(conv).cast("string"), F.lit("null"))
-    numbered = rows.select(F.col(conv).alias("tree"), F.row_number().over(order).alias("n"), name.alias("name"), "role", "text")
-    node = lambda n: F.concat_ws(":", "name", F.lpad(n.cast("string"), 12, "0"))
-    return numbered.select("tree", node(F.col("n")).alias("node"), F.when(F.col("n") > 1, node(F.col("n") - 1)).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
+    """(tree, node, parent, score, role, text) of conversations whose turns answer each other in order.
+
+    A node is the turn's place in the order of all turns, made by ranges of it, so the turns of a hot
+    conversation are numbered by many tasks; the first turns, one number a conversation, have no parent.
+    """
+    rows = rows.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), "role", "text")
+    placed = in_corpus_order(rows, "tree", "turn", "role", "text").drop("turn")
+    first = placed.groupBy("tree").agg(F.min("pos").alias("pos")).select("pos", F.lit(True).alias("first"))
+    rooted = placed.join(first, "pos", "left")
+    return rooted.select("tree", F.col("pos").alias("node"), F.when(F.col("first").isNull(), F.col("pos") - 1).alias("parent"), F.lit(1.0).alias("score"), "role", "text")
 
 
 def format_trees(messages: DataFrame, best: int = 1) -> DataFrame:

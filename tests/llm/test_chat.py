@@ -77,3 +77,16 @@ def test_plan_has_no_python(spark):
     df = spark.range(3).select(F.col("id").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
     plan = chat.read_back(chat.format_trees(chat.conversations_as_trees(df)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_hot_conversation_is_numbered_by_many_tasks(spark):
+    """One conversation with a third of all turns, copies of turns and equal numbers among them: read back in order."""
+    rows = [(1, i // 2, "assistant" if i % 2 else "user", f"turn {i} " + "x" * (i % 90)) for i in range(600)] + [(1, 5, "user", "again")] * 3
+    rows += [(10 + i // 2, i % 2, "user", f"t{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, CONVERSATIONS).repartition(7)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_trees(chat.conversations_as_trees(df))).collect()}
+    assert len(got) == 601 and sum(r["n_turns"] for r in got.values()) == len(rows)
+    own = sorted((t, role, text) for c, t, role, text in rows if c == 1)
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in own).encode()).hexdigest()
+    trees = chat.conversations_as_trees(df)
+    assert trees.groupBy("tree").agg(F.count_if(F.col("parent").isNull()).alias("n")).filter("n <> 1").count() == 0
