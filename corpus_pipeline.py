@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it
 kept. All but the last return the columns of documents; their result is written as
 Parquet and read again as the next stage's docs.
+
+Defined cases, in every stage: a null text is empty; a null lang, source or n_chars
+changes nothing but that it is not learned from; rows without a doc_id are never held
+out, never anybody's copy and stay or go by their text; extra columns are kept to the
+last stage; an empty table gives an empty one; texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -18,23 +23,38 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine, fitted on their labelled rows, scores 0.3 or more."""
+    """Documents that the factorisation machine, fitted on their labelled rows, scores 0.3 or more.
+
+    An empty text is scored as any other; ties at 0.3 stay; repeated rows stay or go together;
+    without a labelled row every document scores 0.5 and stays.
+    """
     machine = quality.fit(docs, read_table(spark, sf_dir, "labels"), ~crc32_is("doc_id", 5, 0))
     return quality.keep_good(docs, machine)
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is learned from these documents."""
+    """Documents in a language that is learned from these documents.
+
+    Texts without a letter have none and go; of equal scores the language that sorts first counts;
+    repeated rows stay or go together; without a row that has a lang every document goes.
+    """
     return langid.keep_identified(docs, langid.fit(docs.filter(~crc32_is("doc_id", 4, 2))), LEAST_LANGUAGE_SCORE)
 
 
 def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies: near fingerprints, or shingle sets 0.8 alike or more."""
+    """One document, that of the least id, of each group of near copies: near fingerprints, or shingle sets 0.8 alike or more.
+
+    Texts without a word are copies of each other; of rows with one doc_id the one whose text has
+    the least hash stays; rows without a doc_id all stay.
+    """
     return nearcopies.first_of_groups(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
+    """Where each piece of each document stands in the training sequences.
+
+    An empty text is its end token alone; repeated rows are packed as often as they are there.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

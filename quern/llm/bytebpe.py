@@ -9,7 +9,8 @@ differ from leftmost-first, so each new piece is checked against the ranks and t
 ranks win.
 
 Defined cases: a null text is empty and has no tokens; special tokens' strings are
-ordinary text; repeated rows give equal rows.
+ordinary text; repeated rows give equal rows; an empty table gives an empty one; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,7 +72,8 @@ class ByteBPE:
         shown = lambda token: "".join(map(chars.__getitem__, token))
         self.library = Tokenizer(models.BPE(vocab={shown(t): r for t, r in self.ranks.items()}, merges=[(shown(a), shown(b)) for a, b in merges_of(self.ranks)], ignore_merges=True))
         self.library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        #: takes a piece as one match, whatever is in it
+        self.exact = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
         back = {c: b for b, c in enumerate(chars)}
         self.bytes_of = {self.library.token_to_id(shown(t)): bytes(back[c] for c in shown(t)) for t in self.ranks}
         self.kept: dict[str, bytes] = {}
@@ -95,10 +97,10 @@ class ByteBPE:
         new = [p for p in distinct if p not in self.kept]
         if len(self.kept) + len(new) > PIECES_KEPT:
             self.kept, new = {}, list(distinct)
-        kept, by_rank, pack = self.kept, self.exact._core_bpe.encode_single_piece, [struct.Struct(f"<{n}I").pack for n in range(64)]
+        kept, by_rank, pack = self.kept, self.exact.encode_ordinary, [struct.Struct(f"<{n}I").pack for n in range(64)]
         for piece, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
             ids = got.ids
-            if len(ids) > 1 and ids != (ranked := by_rank(piece.encode())):
+            if len(ids) > 1 and ids != (ranked := by_rank(piece)):
                 ids = ranked
             kept[piece] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import simhash
@@ -218,5 +218,12 @@ def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     """
     gone = connected_components(group_links(df, key, text, least)).select(F.col("node").alias("__gone"))
     rest = df.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text), text))
-    return rest.withColumn("__place", place).filter((F.col("__place") == 1) | F.col(key).isNull()).select(*df.columns)
+    # keys that several rows have are settled apart: of the others no row needs to meet another
+    hashed = F.xxhash64(text).alias("__hash")
+    twice = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), hashed).groupBy("__key").agg(F.count("*").alias("__n"), F.min("__hash").alias("__first")).filter("__n > 1").drop("__n")
+    twice = checkpointed(twice)
+    if twice.isEmpty():
+        return rest
+    met = F.col(key) == F.col("__key")
+    first = rest.withColumn("__hash", hashed).join(twice, met & (F.col("__hash") == F.col("__first")), "left_semi").drop("__hash")
+    return rest.join(twice, met, "left_anti").unionByName(first.dropDuplicates([key]))
