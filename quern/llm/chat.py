@@ -85,8 +85,10 @@ def branch_paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     """
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
     # up: where the jump of 2 ** k replies leads (null beyond the root); depth and total: over the replies jumped
-    jump = nodes.join(known, "parent", "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
-    jump = checkpointed(jump)
+    own = lambda up: ("tree", "node", up.alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"))
+    # messages without a parent need no join, and all would meet in one task of it
+    jump = nodes.filter("parent is not null").join(known, "parent", "left").select(*own(F.when(F.col("there"), F.col("parent"))))
+    jump = checkpointed(jump.unionByName(nodes.filter("parent is null").select(*own(F.col("parent")))))
     # messages that have met their root are set aside, so a round is as large as what still is on its way
     rooted, going, jumps, most = jump.filter("up is null"), jump.filter("up is not null"), [], jump.count()
     while 1 << len(jumps) <= most and not going.isEmpty():
