@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS)))
 
 
+def plain_terms(text: str) -> list[str]:
+    """``terms`` of one text in the driver."""
+    return list(dict.fromkeys(t for t in re.findall(TERM, text.lower()) if len(t) > 1 and t not in STOPWORDS))
+
+
 def chunk_terms(text: Column, section: Column) -> Column:
     """What a chunk can be matched by: the terms of its text and section, not of its title."""
     return terms(F.concat_ws(" ", text, section))

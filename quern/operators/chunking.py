@@ -69,14 +69,15 @@ def titles_at(pages: DataFrame, toc: DataFrame) -> DataFrame:
     """pages(url, page_num, ...) with section: the title of the last toc(url, level, title, page, seq) entry at or before the page.
 
     A backward as-of join: entries and pages of a document in one order, the last title carried
-    forward. A blank latest title, or none, gives ``Page n``. Of entries on one page the later one (seq) counts.
+    forward. A blank latest title, or none, gives ``Page n``; pages without a url or a number have no entries. Of entries on one page the later one (seq) counts.
     """
     entries = toc.select("url", F.col("page").alias("at"), F.lit(0).alias("kind"), "seq", F.trim("title").alias("title"))
     asked = pages.select("url", F.col("page_num").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("seq"), F.lit(None).cast("string").alias("title")).distinct()
     order = Window.partitionBy("url").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
     carried = entries.unionByName(asked).withColumn("last", F.last("title", ignorenulls=True).over(order)).filter("kind = 1")
     named = carried.select("url", F.col("at").alias("page_num"), F.coalesce(F.nullif("last", F.lit("")), F.concat(F.lit("Page "), F.col("at").cast("string"))).alias("section"))
-    return pages.join(named, ["url", "page_num"])
+    plain = F.concat(F.lit("Page "), F.coalesce(F.col("page_num").cast("string"), F.lit("?")))
+    return pages.join(named, ["url", "page_num"], "left").withColumn("section", F.coalesce("section", plain))
 
 
 def page_chunks(pages: DataFrame, toc: DataFrame, cap: int = T.CHUNK_CAP, least: int = T.LEAST_CHUNK) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,12 @@ def judged(results: DataFrame, golden: DataFrame) -> DataFrame:
     )
 
 
-def records(results: DataFrame, golden: DataFrame) -> DataFrame:
-    """(query_id, corpus, type, first_rank, top_urls): first_rank is null without a match; queries without results stay."""
+def records(results: DataFrame, golden: DataFrame, *kept: str) -> DataFrame:
+    """(query_id, corpus, type, kept columns of golden, first_rank, top_urls): first_rank is null without a match; queries without results stay."""
     rows = judged(results, golden)
     top = F.array_sort(F.collect_list(F.when(F.col("rank") <= SHOWN, F.struct("rank", "url"))))
     best = rows.groupBy("query_id").agg(F.min(F.when(F.col("matched"), F.col("rank"))).alias("first_rank"), F.transform(top, lambda x: x["url"]).alias("top_urls"))
-    return golden.select("query_id", "corpus", "type").join(best, "query_id", "left")
+    return golden.select("query_id", "corpus", "type", *kept).join(best, "query_id", "left")
 
 
 def _metrics() -> list[Column]:
@@ -57,10 +59,19 @@ def overall(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(*_metrics())
 
 
-def by_group(evaluated: DataFrame) -> DataFrame:
-    """The metrics over all, by corpus, and by corpus and type, by one pass of grouping sets; level is 0, 1 or 2."""
+def by_group(evaluated: DataFrame, corpora: Sequence[str] = ()) -> DataFrame:
+    """The metrics over all, by corpus, and by corpus and type, by one pass of grouping sets; level is 0, 1 or 2.
+
+    Named corpora have a row of zeros where they have no record.
+    """
     level = (F.lit(2) - F.grouping("corpus") - F.grouping("type")).cast("int").alias("level")
-    return evaluated.groupingSets([[], ["corpus"], ["corpus", "type"]], "corpus", "type").agg(level, *_metrics()).select("level", "corpus", "type", "n", "recall_at_5", "hit_at_1", "mrr")
+    rows = evaluated.groupingSets([[], ["corpus"], ["corpus", "type"]], "corpus", "type").agg(level, *_metrics()).select("level", "corpus", "type", "n", "recall_at_5", "hit_at_1", "mrr")
+    if not corpora:
+        return rows
+    named = evaluated.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, corpora))).alias("corpus"))
+    absent = named.join(evaluated.select("corpus").distinct(), "corpus", "left_anti")
+    zeros = [F.lit(0.0).alias(c) for c in ("recall_at_5", "hit_at_1", "mrr")]
+    return rows.unionByName(absent.select(F.lit(1).alias("level"), "corpus", F.lit(None).cast("string").alias("type"), F.lit(0).cast("long").alias("n"), *zeros))
 
 
 def gate(metrics: DataFrame, bars: dict[str, float] | None = None) -> DataFrame:
@@ -69,9 +80,14 @@ def gate(metrics: DataFrame, bars: dict[str, float] | None = None) -> DataFrame:
     return metrics.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"), F.lit(v).alias("bar")) for k, v in bars.items()])).alias("x")).select("x.*", (F.col("x.value") >= F.col("x.bar")).alias("passed"))
 
 
+def below(evaluated: DataFrame) -> DataFrame:
+    """Records that recall does not count."""
+    return evaluated.filter(F.col("first_rank").isNull() | (F.col("first_rank") > RECALL_AT))
+
+
 def below_recall(evaluated: DataFrame) -> DataFrame:
     """Records that recall does not count, by corpus and rank."""
-    return evaluated.filter(F.col("first_rank").isNull() | (F.col("first_rank") > RECALL_AT)).orderBy("corpus", F.coalesce("first_rank", F.lit(999)), "query_id")
+    return below(evaluated).orderBy("corpus", F.coalesce("first_rank", F.lit(999)), "query_id")
 
 
 def misses(evaluated: DataFrame) -> DataFrame:

@@ -118,7 +118,8 @@ class Page(HTMLParser):
     def until_heading(self, first: int) -> str:
         """Strings from a node on to the next heading of any level, or the page's end: also beyond the main content."""
         found = []
-        for n in self.nodes[first:]:
+        for i in range(first, len(self.nodes)):
+            n = self.nodes[i]
             if n.dropped:
                 continue
             if n.name in HEADINGS:

@@ -122,3 +122,42 @@ def summary(records: DataFrame) -> DataFrame:
     none = records.sparkSession.range(1).select(F.explode(F.array(*[entry("files", F.lit(x), F.lit(0)) for x in ("total", "completed", "incomplete")])).alias("x"))
     rows = records.select(F.explode(F.array(*told)).alias("x")).unionByName(none).select("x.*")
     return rows.filter("n is not null").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+
+
+#: Results of a corpus that a form has room for.
+FORM_RESULTS = 5
+
+
+def form(row: Column, query: Column, labeled: Column, corpora: list[str], companion: Column) -> Column:
+    """A blank form, as ``parse`` reads it: the row's number, its query and label, and a line for each thing to say."""
+    blanks = "\n\n".join(f"**{c}:**\n\n" + "\n".join(f"- r{i}: " for i in range(1, FORM_RESULTS + 1)) for c in corpora)
+    choice = lambda words: " | ".join(f"`{w}`" for w in words)
+    truth = "\n".join(f"- {name}: " for name in ("corpus", "url", "section", "pages", "notes"))
+    return F.concat(
+        F.lit("# Row "), row.cast("string"), F.lit(" review\n\n> Results: `"), companion, F.lit("`\n\n**Query:** `"), query, F.lit("`\n**Labeled corpus:** `"), labeled,
+        F.lit(f"`\n\n---\n\n## Per-result verdicts\n\nOne of {choice(VERDICTS)} each, or blank.\n\n{blanks}\n\n"),
+        F.lit(f"## Overall verdict\n\nOne of {choice(VERDICTS)}.\n\n- overall: \n\n## Cross-corpus routing\n\nOne of {choice(routing_words(corpora))}.\n\n- routing: \n\n"),
+        F.lit(f"## Human truth\n\nOnly where no result is right; a line may be repeated for more values.\n\n{truth}\n"),
+    )
+
+
+def result_blocks(results: DataFrame) -> DataFrame:
+    """(query_id, corpus, blocks): the full results of each query in a corpus, best first, from (query_id, corpus, rank, score, url, title, section, text)."""
+    or_none = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("(none)"))
+    head = F.format_string("#### r%d — score %.3f\n\n- **url:** %s\n- **title:** %s\n- **section:** %s\n\n**Full text:**\n\n```\n", "rank", "score", F.coalesce("url", F.lit("")), or_none("title"), or_none("section"))
+    block = F.concat(head, F.coalesce("text", F.lit("")), F.lit("\n```\n"))
+    rows = results.filter(F.col("rank") <= FORM_RESULTS).groupBy("query_id", "corpus").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("found"))
+    return rows.select("query_id", "corpus", F.array_join(F.transform("found", lambda x: x["block"]), "\n").alias("blocks"))
+
+
+def results_document(golden: DataFrame, blocks: DataFrame, corpora: list[str]) -> DataFrame:
+    """(query_id, value): the read-only companion of a form: what was expected, and what each corpus returned."""
+    by_corpus = blocks.groupBy("query_id").pivot("corpus", corpora).agg(F.first("blocks"))
+    listed = lambda items, fence="": F.when(F.coalesce(F.size(items) > 0, F.lit(False)), F.concat(F.lit("\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"  - {fence}"), x, F.lit(fence))), "\n"))).otherwise(" (none)")
+    ranges = F.transform("expected_pages", lambda p: F.concat(p[0].cast("string"), F.lit("–"), p[1].cast("string")))
+    panels = [F.concat(F.lit(f"## {c} results (top {FORM_RESULTS})\n\n"), F.coalesce(F.col(f"`{c}`"), F.lit("_(no results)_\n")), F.lit("\n---\n\n")) for c in corpora]
+    head = F.concat(
+        F.format_string("# Row %d results: %s / %s\n\n**Query:** `%s`\n\n- **corpus:** `%s`\n", "query_id", "corpus", F.coalesce("type", F.lit("?")), "query", "corpus"),
+        F.lit("- **expected_urls:**"), listed(F.col("expected_urls")), F.lit("\n- **expected_sections:**"), listed(F.col("expected_sections"), "`"), F.lit("\n- **expected_pages:**"), listed(ranges), F.lit("\n\n---\n\n"),
+    )
+    return golden.join(by_corpus, "query_id", "left").select("query_id", F.concat(head, *panels).alias("value"))

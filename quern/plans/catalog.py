@@ -15,7 +15,7 @@ from quern import scratch
 from quern.functions import text as T
 from quern.functions import urls as U
 from quern.functions import vectors as V
-from quern.operators import chunking, crawl, evaluation, html, ranking, review, usage
+from quern.operators import chunking, crawl, evaluation, html, ranking, report, review, usage
 from quern.sources import corpus
 from quern.streaming import events as stream
 
@@ -91,8 +91,8 @@ def emb_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score() -> Column:
-    """The cosine to four digits; it has six, so a shift far below them settles halves alike in every engine."""
-    return F.round(F.col("cosine") + 1e-8, 4).alias("score")
+    """The cosine to four digits."""
+    return F.round("cosine", 4).alias("score")
 
 
 def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ _Q = f"""q AS (
     SELECT item_id AS query_id, text AS query, {terms_sql("text")} AS terms, {_UNIT.format(v="embedding")} AS unit, CAST(3 + item_id % 5 AS INTEGER) AS top_k,
            item_id % 7 = 3 AS disable_lexical, CASE WHEN item_id % 5 = 1 THEN ['en', 'fr'] WHEN item_id % 5 = 2 THEN CAST([] AS VARCHAR[]) END AS categories
     FROM benchmark JOIN embeddings ON item_id = vec_id)"""
-_F = "f AS (SELECT query_id, pos, round(list_dot_product(c.unit, q.unit), 6) AS cosine FROM c, q WHERE categories IS NULL OR list_contains(categories, category))"
+_F = "f AS (SELECT query_id, pos, round(list_dot_product(c.unit, q.unit), 10) AS cosine FROM c, q WHERE categories IS NULL OR list_contains(categories, category))"
 _W = """qt AS (SELECT query_id, unnest(terms) AS term FROM q),
     ct AS (SELECT pos, category, unnest(terms) AS term FROM c),
     hit AS (SELECT qt.query_id, ct.pos, qt.term FROM qt JOIN q USING (query_id) JOIN ct USING (term) WHERE categories IS NULL OR list_contains(categories, category)),
@@ -199,7 +199,7 @@ def lex_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.ranks(asked, chunk_table(spark, sf_dir)).select("query_id", "pos", F.col("lex_rank").cast("long").alias("lex_rank"), F.array_join("matched", " ").alias("matched"))
 
 
-_SHOWN = "query_id, CAST(rank AS INTEGER) AS rank, pos, round(cosine + 1e-8, 4) AS score, CASE WHEN NOT disable_lexical AND len(matched) > 0 THEN array_to_string(matched, ' ') END AS matched"
+_SHOWN = "query_id, CAST(rank AS INTEGER) AS rank, pos, round(cosine, 4) AS score, CASE WHEN NOT disable_lexical AND len(matched) > 0 THEN array_to_string(matched, ' ') END AS matched"
 
 
 def _shown_top(rows: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def rank_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown_top(ranking.rank_all(query_table(spark, sf_dir), stored_chunks(spark, sf_dir)))
 
 
-@query(f"{_TOP} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(cosine + 1e-8, 4) AS score, coalesce(url, '') AS url, coalesce(section, '') AS section, category, page, md5(text) AS text_md5 FROM t JOIN c USING (pos) WHERE rank <= t.top_k")
+@query(f"{_TOP} SELECT query_id, CAST(rank AS INTEGER) AS rank, round(cosine, 4) AS score, coalesce(url, '') AS url, coalesce(section, '') AS section, category, page, md5(text) AS text_md5 FROM t JOIN c USING (pos) WHERE rank <= t.top_k")
 def prj_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, texts = stored_chunks(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text")
     rows = ranking.rank_all(query_table(spark, sf_dir), chunks).join(chunks.select("pos", "url", "section", "category", "page"), "pos").join(texts, "pos")
@@ -243,7 +243,7 @@ def _by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_C}, {_Q.replace("q AS (", "q0 AS (")}, q AS (
     SELECT query_id * 4 + i AS query_id, query, terms, unit, top_k, disable_lexical, [corpus] AS categories
     FROM q0, (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) x(i, corpus)), {_F}, {_W}, {_R}
-    SELECT query_id // 4 AS query_id, ['de', 'en', 'es', 'fr'][query_id % 4 + 1] AS corpus, CAST(rank AS INTEGER) AS rank, pos, round(cosine + 1e-8, 4) AS score FROM t WHERE rank <= top_k""")
+    SELECT query_id // 4 AS query_id, ['de', 'en', 'es', 'fr'][query_id % 4 + 1] AS corpus, CAST(rank AS INTEGER) AS rank, pos, round(cosine, 4) AS score FROM t WHERE rank <= top_k""")
 def rank_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.rank_all(_by_corpus(spark, sf_dir), stored_chunks(spark, sf_dir))
     corpus_of = F.get(F.array(*map(F.lit, _LANGS)), (F.col("query_id") % 4).cast("int"))
@@ -334,11 +334,18 @@ def asof_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.titles_at(*_toc(spark, sf_dir)).select("url", "page_num", "section")
 
 
-@query(f"WITH {_NAMED} SELECT url, page_num AS source_page, section, CAST(page_num * 1000 AS BIGINT) AS order_key, {_PAGE_TEXT} AS text FROM named WHERE length({_PAGE_TEXT}) BETWEEN 40 AND 1500")
+_PAGE_PIECES = rf"""{_NAMED}, pt AS (SELECT url, page_num, section, {_PAGE_TEXT} AS t FROM named), pk AS (SELECT * FROM pt WHERE length(t) >= 40),
+    pu AS (SELECT *, list_filter(string_split(regexp_replace(t, '([.!?])\s+([A-Z])', '\1' || chr(31) || '\2', 'g'), chr(31)), lambda x: x <> '') AS units FROM pk WHERE length(t) > 1500),
+    pp AS (SELECT *, list_reduce(list_transform(units, lambda u: {{'done': CAST([] AS VARCHAR[]), 'open': u}}),
+        lambda a, x: CASE WHEN length(a.open) + 1 + length(x.open) <= 1500 THEN {{'done': a.done, 'open': a.open || ' ' || x.open}} ELSE {{'done': list_append(a.done, a.open), 'open': x.open}} END) AS p FROM pu),
+    pl AS (SELECT url, page_num, section, flatten(list_transform(list_append(p.done, p.open), lambda s: list_transform(range(0, (length(s) - 1) // 1500 + 1), lambda i: substr(s, CAST(i * 1500 + 1 AS BIGINT), 1500)))) AS l FROM pp
+           UNION ALL SELECT url, page_num, section, [t] FROM pk WHERE length(t) <= 1500),
+    pages_cut AS (SELECT url, page_num, section, generate_subscripts(l, 1) - 1 AS sub, unnest(l) AS text FROM pl)"""
+
+
+@query(f"WITH {_PAGE_PIECES} SELECT url, page_num AS source_page, section, CAST(sub AS INTEGER) AS sub, CAST(page_num * 1000 + sub AS BIGINT) AS order_key, text FROM pages_cut")
 def gen_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, toc = _toc(spark, sf_dir)
-    whole = F.length(T.page_text(F.col("text"))) <= T.CHUNK_CAP  # the SQL says what a page of one piece gives
-    return chunking.page_chunks(pages.filter(whole), toc).select("url", "source_page", "section", "order_key", "text")
+    return chunking.page_chunks(*_toc(spark, sf_dir)).select("url", "source_page", "section", "sub", "order_key", "text")
 
 
 @query(f"WITH {_PIECES}, n AS (SELECT count(DISTINCT source) AS pages, count(*) AS chunks FROM pieces WHERE length(piece) >= 40) SELECT what, found, least, found >= least AS enough FROM (SELECT 'pages' AS what, pages AS found, CAST(20 AS BIGINT) AS least FROM n UNION ALL SELECT 'chunks', chunks, 100 FROM n)")
@@ -435,42 +442,99 @@ def src_sitemap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sitemap_urls(pages.select(F.concat(F.lit('<urlset xmlns:s="x"><url><s:loc> '), escaped, F.lit(" </s:loc></url></urlset>")).alias("value")), first)
 
 
-@query()
+def _visible(markup: str) -> str:
+    """The text of well-formed markup in SQL: tags and comments go, the entities that the pages have are read, white space collapses."""
+    out = f"regexp_replace(regexp_replace({markup}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    for code, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+
+
+#: Every page has one heading, in an article, and a footer after it: its section goes on to the page's end.
+_PARTS = f"""hp AS (SELECT url, html, {_visible("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1, {_visible("regexp_extract(html, '(?s)</h1>(.*)$', 1)")} AS body, {_visible("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS titled FROM pages),
+    hs AS (SELECT url, h1 AS title, h1 AS section, CAST(0 AS INTEGER) AS heading, body FROM hp WHERE body <> '')"""
+
+
+@query(f"WITH {_PARTS} SELECT url, title, section, heading, body, CAST(NULL AS VARCHAR) AS error FROM hs")
 def gen_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"WITH {_PARTS} SELECT DISTINCT url, title FROM hs")
 def prj_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(table(spark, sf_dir, "pages")).select("url", "title").distinct()
 
 
-@query()
+@query(f"WITH {_PARTS} SELECT url, CASE WHEN titled <> '' THEN titled ELSE h1 END AS title, CASE WHEN h1 <> '' THEN h1 WHEN titled <> '' THEN titled ELSE '' END AS section, CAST(0 AS INTEGER) AS heading, body, CAST(NULL AS VARCHAR) AS error FROM hp WHERE body <> ''")
 def prj_main_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(table(spark, sf_dir, "pages"), profile=html.SINGLE_PAGE)
 
 
+_CHROME = "'<main><nav>menu</nav><h2>T' || page_id || '</h2><header>top</header><p>kept ' || page_id || '</p><aside>side</aside><a class=\"headerlink\" href=\"#x\">mark</a><form role=\"search\">find</form><footer>foot</footer></main>'"
+
+
+@query("SELECT url, 'T' || page_id AS section, 'kept ' || page_id AS body FROM pages")
+def flt_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chrome inside the main content goes, whatever it holds."""
+    pages = table(spark, sf_dir, "pages").select("url", F.expr(_CHROME).alias("html"))
+    return html.page_sections(pages).select("url", "section", "body")
+
+
 @query()
 def gen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(table(spark, sf_dir, "pages"))
 
 
-@query()
+_SECTION_PIECES = f"""{_PARTS}, flat AS (SELECT url AS doc_id, h1 AS source, body AS t FROM hp), {_PIECES.partition("unit AS (")[1]}{_PIECES.partition("unit AS (")[2]}"""
+
+
+@query(f"WITH {_SECTION_PIECES}, good AS (SELECT DISTINCT doc_id FROM pieces WHERE length(piece) >= 40) SELECT (SELECT count(DISTINCT url) FROM pages) AS sources_total, (SELECT count(*) FROM good) AS sources_ok")
 def src_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = html.page_sections(table(spark, sf_dir, "pages"))
-    good = chunking.chunks(sections.filter("error is null")).groupBy("url").agg(F.count("*").alias("chunks"))
-    return sections.select("url").distinct().join(good, "url", "left").agg(F.count("*").alias("sources_total"), F.count("chunks").alias("sources_ok"))
+    pages = table(spark, sf_dir, "pages")
+    good = chunking.chunks(html.page_sections(pages).filter("error is null")).groupBy("url").agg(F.count("*").alias("chunks"))
+    return pages.select("url").distinct().join(good, "url", "left").agg(F.count("*").alias("sources_total"), F.count("chunks").alias("sources_ok"))
 
 
-@query()
+def _site_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.in_corpus_order(chunking.chunks(html.page_sections(table(spark, sf_dir, "pages"))), "url", "order_key", "text")
+
+
+@query(f"WITH {_SECTION_PIECES} SELECT row_number() OVER (ORDER BY doc_id, sub, piece) - 1 AS pos, substr(sha1(doc_id || '|' || source || '|' || sub), 1, 16) AS id, doc_id AS url, source AS title, source AS section, CAST(sub AS INTEGER) AS order_key, md5(piece) AS text_md5 FROM pieces WHERE length(piece) >= 40")
 def snk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.chunks(html.page_sections(table(spark, sf_dir, "pages")))
-    return chunking.in_corpus_order(rows, "url", "order_key")
+    return _site_chunks(spark, sf_dir).select("pos", "id", "url", "title", "section", F.col("order_key").cast("int").alias("order_key"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"WITH {_SECTION_PIECES} SELECT count(*) AS chunk_count, CAST(count(DISTINCT doc_id) AS BIGINT) AS pages_crawled FROM pieces WHERE length(piece) >= 40")
 def snk_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.fingerprint(snk_corpus(spark, sf_dir).select("pos", "id", "url", "section", "text"))
+    """The meta row of a corpus without its digests, which stand in no other engine."""
+    chunks = scratch.written(_site_chunks(spark, sf_dir).select("pos", "id", "url", "section", "text"), "corpus")
+    pages = chunks.select("url").distinct().count()
+    return corpus.meta(chunks, pages_crawled=pages).select("chunk_count", F.col("pages_crawled").cast("long").alias("pages_crawled"))
+
+
+@query("SELECT 'now' AS built_at, CAST(count(*) AS BIGINT) AS pages_crawled, 'h.example' AS source_host FROM pages")
+def src_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A meta document, written as JSON and read: known keys only, with their types."""
+    path = scratch.path(spark, "meta")
+    facts = table(spark, sf_dir, "pages").agg(F.count("*").alias("pages_crawled")).select(F.lit("now").alias("built_at"), "pages_crawled", F.lit("h.example").alias("source_host"), F.lit(1).alias("other"))
+    facts.coalesce(1).select(F.to_json(F.struct("*"))).write.mode("overwrite").text(path)
+    return spark.createDataFrame([corpus.read_meta(spark, path)], "built_at string, pages_crawled long, source_host string")
+
+
+@query("SELECT case_name, refused FROM (VALUES ('empty', true), ('other', true), ('right', false)) x(case_name, refused)")
+def src_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpora that may not be served: without chunks, or with another embedder's vectors."""
+    rows = []
+    items = table(spark, sf_dir, "benchmark").select(F.struct(F.col("item_id").cast("string").alias("id"), "text").alias("x"))
+    for case, embedder, some in (("empty", corpus.EMBEDDER, items.filter("false")), ("other", "another", items), ("right", corpus.EMBEDDER, items)):
+        path = scratch.path(spark, "validate")
+        some.agg(F.to_json(F.struct(F.lit(embedder).alias("embedder"), F.collect_list("x").alias("chunks")))).write.mode("overwrite").text(path)
+        try:
+            corpus.read_envelope(spark, path)
+            rows.append((case, False))
+        except corpus.CorpusError:
+            rows.append((case, True))
+    return spark.createDataFrame(rows, "case_name string, refused boolean")
 
 
 _EDGES = "edge AS (SELECT 'https://h.example/' || page_id AS url, 'https://h.example/' || unnest([page_id * 2 + 1, page_id // 3]) || '/#x' AS link FROM pages)"
@@ -616,10 +680,24 @@ def ev_wilson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("lang", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
-@query(f"{_JUDGED}, m AS (SELECT {_METRICS} FROM rec) SELECT '| ' || metric || ' | ' || printf('%.3f', value) || ' | ≥ ' || printf('%.2f', bar) || ' | ' || CASE WHEN value >= bar THEN '✓' ELSE '✗' END || ' |' AS line FROM (SELECT 'recall_at_5' AS metric, recall_at_5 AS value, 0.7 AS bar FROM m UNION ALL SELECT 'hit_at_1', hit_at_1, 0.5 FROM m UNION ALL SELECT 'mrr', mrr, 0.55 FROM m)")
+_BARS = "VALUES ('recall_at_5', 'recall@5', 0.7, 0), ('hit_at_1', 'hit@1', 0.5, 1), ('mrr', 'MRR', 0.55, 2)"
+_ROW = "n || printf(' | %.3f | %.3f | %.3f |', recall_at_5, hit_at_1, mrr)"
+
+
+@query(f"""{_JUDGED}, m AS (SELECT {_METRICS} FROM rec), bc AS (SELECT corpus, {_METRICS} FROM rec GROUP BY corpus), bt AS (SELECT corpus, type, {_METRICS} FROM rec GROUP BY corpus, type),
+    full_rec AS (SELECT rec.*, 'q' || query_id AS query, 'http://other.example/en/' || (query_id % 10) || '.html#a' AS expected, list_filter(top, lambda u: u IS NOT NULL) AS urls
+                 FROM rec JOIN (SELECT g.query_id, list(CASE WHEN rank <= 5 THEN url END ORDER BY rank) AS top FROM g LEFT JOIN j USING (query_id) GROUP BY 1) USING (query_id)),
+    bullet AS (SELECT *, '- **[' || corpus || '/' || type || ']** `' || query || '`' AS head FROM full_rec)
+    SELECT 0 AS section, '| ' || shown || ' | ' || printf('%.3f', value) || ' | ≥ ' || printf('%.2f', bar) || ' | ' || CASE WHEN value >= bar THEN '✓' ELSE '✗' END || ' |' AS line
+    FROM (SELECT shown, CAST(bar AS DOUBLE) AS bar, CASE metric WHEN 'recall_at_5' THEN recall_at_5 WHEN 'hit_at_1' THEN hit_at_1 ELSE mrr END AS value FROM m, ({_BARS}) x(metric, shown, bar, i))
+    UNION ALL SELECT 1, '| ' || corpus || ' | ' || {_ROW} FROM bc UNION ALL SELECT 2, '| ' || corpus || ' | ' || type || ' | ' || {_ROW} FROM bt
+    UNION ALL SELECT 3, head || ' (' || coalesce('rank ' || first_rank, 'not in top 50') || ')' || chr(10) || '  - expected: ' || expected || chr(10) || '  - top 3 returned:' || coalesce(array_to_string(list_transform(urls[1:3], lambda u: chr(10) || '    - ' || u), ''), '') FROM bullet WHERE first_rank IS NULL OR first_rank > 5
+    UNION ALL SELECT 4, '| ' || corpus || ' | ' || type || ' | ' || coalesce(CAST(first_rank AS VARCHAR), '—') || ' | ' || query || ' |' FROM full_rec
+    UNION ALL SELECT 5, head || chr(10) || '  - expected: ' || expected || ', /fr/' || (query_id % 4) || '.html' || chr(10) || '  - top 5 returned: ' || coalesce(nullif(array_to_string(urls, ', '), ''), '(none)') FROM bullet WHERE first_rank IS NULL""")
 def snk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ev_gate(spark, sf_dir)
-    return rows.select(F.format_string("| %s | %.3f | ≥ %.2f | %s |", "metric", "value", "bar", F.when(F.col("passed"), "✓").otherwise("✗")).alias("line"))
+    asked = golden(spark, sf_dir).withColumn("query", F.concat(F.lit("q"), F.col("query_id").cast("string")))
+    evaluated = scratch.written(evaluation.records(_results(spark, sf_dir), asked, "query", "expected_urls"), "records")
+    return report.lines(evaluated).select("section", "line")
 
 
 # --- review ------------------------------------------------------------------------
@@ -649,6 +727,14 @@ def src_review_md(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.parse(forms(spark, sf_dir), _CORPORA)
 
 
+@query("""SELECT CAST(item_id AS INTEGER) AS row_index, 'q' || item_id AS query, CASE WHEN item_id % 2 = 0 THEN 'left' ELSE 'right' END AS labeled_corpus, true AS incomplete, 0 AS verdicts FROM benchmark""")
+def snk_review_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank forms, rendered and read back."""
+    i = F.col("item_id")
+    rows = table(spark, sf_dir, "benchmark").select(F.concat(i.cast("string"), F.lit("-review.md")).alias("path"), review.form(i, F.concat(F.lit("q"), i.cast("string")), F.when(i % 2 == 0, "left").otherwise("right"), _CORPORA, F.concat(i.cast("string"), F.lit("-results.md"))).alias("value"))
+    return review.parse(rows, _CORPORA).select("row_index", "query", "labeled_corpus", "incomplete", F.size(F.map_filter("verdicts", lambda _, v: F.size(v) > 0)).alias("verdicts"))
+
+
 _OVERALL = "['wrong', '', 'correct', 'partial'][item_id % 4 + 1]"
 _ROUTING = "['keep', 'redirect-to-right', ''][item_id % 3 + 1]"
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import json
+from collections.abc import Callable, Iterable, Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,15 +48,18 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
-    """The known keys of a meta document; empty if it is absent or no JSON object."""
+    """The known keys of a meta document, with the types that they have in it; empty if it is absent or no JSON object."""
     try:
-        row = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m")).first()
+        row = spark.read.text(path, wholetext=True).first()
     except Exception as e:  # the reader's own error for a path that is absent; anything else is raised
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return {}
-    found = (row and row["m"]) or {}
-    return {k: found[k] for k in META_KEYS if k in found}
+    try:
+        found = json.loads(row["value"]) if row else {}
+    except ValueError:
+        return {}
+    return {k: found[k] for k in META_KEYS if k in found} if isinstance(found, dict) else {}
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,17 +68,26 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
-def _replaced(code: str, char: str) -> Callable[[Column], Column]:
-    return lambda u: F.replace(u, F.lit(code), F.lit(char))
+def sitemap_locations(xml: DataFrame, value: str = "value") -> DataFrame:
+    """(source, locations): of each sitemap its loc elements' texts, of any namespace, in order; null where it is no XML document."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                try:
+                    found = ElementTree.fromstring(text or "").iter()
+                    out.append([(e.text or "").strip() for e in found if isinstance(e.tag, str) and e.tag.rpartition("}")[2] == "loc"])
+                except (ElementTree.ParseError, ValueError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("source"), pa.array(out, pa.list_(pa.string()))], names=["source", "locations"])
+
+    return xml.select(F.xxhash64(value).alias("source"), F.col(value).alias("text")).mapInArrow(run, "source long, locations array<string>")
 
 
 def sitemap_urls(xml: DataFrame, host: str, keep: Column | None = None) -> DataFrame:
-    """Distinct, sorted URLs of the loc elements (of any namespace) of sitemaps (value), of one host, without fragments."""
-    plain = F.regexp_replace("value", r"<(/?)[A-Za-z0-9_]+:", "<$1")
-    locs = F.regexp_extract_all(plain, F.lit(r"(?s)<loc[^>]*>\s*(.*?)\s*</loc>"), F.lit(1))
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        locs = F.transform(locs, _replaced(code, char))
-    urls = xml.select(F.explode(locs).alias("url")).select(F.regexp_replace("url", "(?s)#.*$", "").alias("url"))
+    """Distinct, sorted URLs of the loc elements of sitemaps (value), of one host, without fragments; documents that are no XML give none."""
+    urls = sitemap_locations(xml).select(F.explode("locations").alias("url")).select(F.regexp_replace("url", "(?s)#.*$", "").alias("url"))
     urls = urls.filter(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1) == host)
     return (urls if keep is None else urls.filter(keep)).distinct().orderBy("url")
 
@@ -81,6 +97,33 @@ def fetched(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([0-9a-f]{16})[^/]*$", 1).alias("key"), F.col("content").alias("body"), F.col("modificationTime").alias("modified"))
 
 
+def to_fetch(wanted: DataFrame, cache: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``wanted`` that the cache (key, body) has no sound entry for: absent, empty, or a page that is no text in UTF-8."""
+    sound = F.coalesce(F.octet_length("body") > 0, F.lit(False)) & (F.substring("body", 1, 5).eqNullSafe(F.lit(b"%PDF-")) | F.is_valid_utf8(F.col("body").cast("string")))
+    return wanted.withColumn("__key", key).join(cache.filter(sound).select(F.col("key").alias("__key")).distinct(), "__key", "left_anti").drop("__key")
+
+
+def pdf_pages(files: DataFrame, reader: Callable[[bytes], Iterable[tuple[int, str]]]) -> DataFrame:
+    """(path, page_num, text, error) of PDF files (path, content), by a reader that gives (page number, text) of one file's bytes.
+
+    No PDF library is needed here: the caller brings one. A file that the reader fails on gives one row with its error.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                rows, error = [], None
+                try:
+                    rows = [(path, n, text, None) for n, text in reader(content or b"")]
+                except Exception as e:  # whatever the caller's reader raises is the file's fault, and spoils no other file
+                    error = f"{type(e).__name__}: {e}"
+                rows += [(path, None, None, error)] if error else []
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "page_num", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, page_num int, text string, error string")
+
+
 def fingerprint(chunks: DataFrame) -> DataFrame:
     """(chunk_count, corpus_bytes, corpus_sha256): the same for the same chunks in the same order, whatever the files are.
 

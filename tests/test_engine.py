@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quern.engine import Answers, Engine, Prompt, Request, RequestError, UnknownCorpus
+from quern.engine import Answers, Engine, Prompt, Request, RequestError, UnknownCorpus, session
 from quern.functions import vectors as V
 from quern.sources import corpus as C
 from quern.streaming import events as S
@@ -27,7 +27,7 @@ def test_search(engine):
     assert answer["query"] == "ice sheet elevation" and len(answer["results"]) == 3
     assert answer["results"][0]["text"] == "ice sheet elevation change" and answer["results"][0]["matched_tokens"] == ["elevation", "ice", "sheet"]
     assert "category" in answer["results"][0] and all("source_page" in r for r in answer["results"])
-    assert set(answer["corpus_meta"]) == {"built_at", "source_host", "corpus_sha256"}
+    assert answer["corpus_meta"].items() >= {"built_at": "now", "source_host": "h", "chunk_count": 5, "embedding_dim": 16, "embedder": None}.items() and set(answer["corpus_meta"]) == {"built_at", "source_host", "corpus_sha256", "chunk_count", "embedder", "embedding_dim"}
     before = engine.answers.hits
     assert engine.search("docs", Request("ice sheet elevation", 3)) is answer and engine.answers.hits == before + 1
 
@@ -39,6 +39,38 @@ def test_categories_and_terms(engine):
     assert len(engine.search("docs", Request("  "))["results"]) == 5
 
 
+def test_index_in_the_driver_answers_as_spark_does(spark, engine):
+    corpus = engine._of("docs")
+    other = Engine(spark, engine.encoder, held_chunks=0)
+    other.add("docs", corpus.chunks.drop("terms", "unit"), {"built_at": "now", "source_host": "h"})
+    assert corpus.held is not None and other._of("docs").held is None
+    for r in (Request("ice sheet elevation", 3), Request("ice", 50, categories=["guide"]), Request("ice", disable_lexical=True), Request("The of"), Request("sea", categories=[]), Request("nothing known", 2)):
+        a, b = engine.search("docs", r), other.search("docs", r)
+        assert a["results"] == b["results"], r
+
+
+def test_envelopes(engine):
+    status, body = engine.handle("/docs/search", {"query": "ice", "top_k": 2, "junk": 1})
+    assert status == 200 and len(body["results"]) == 2
+    assert engine.handle("/docs/search", {})[0] == engine.handle("/docs/search")[0] == 422
+    assert engine.handle("/docs/search", {"query": "x", "top_k": 0}) == (422, {"error": "validation_error", "detail": "top_k: 1 to 50"})
+    assert engine.handle("/none/search", {"query": "x"}) == (404, {"error": "not_found", "path": "/none/search"}) and engine.handle("/docs/x")[0] == 404
+    assert engine.handle("/health")[1]["status"] == "ok" and engine.handle("/docs/meta")[1]["chunk_count"] == 5
+
+
+def test_session(engine):
+    said, lines = [], iter([":k 1", "", "ice", ":k 0", ":zz", "x" * 2001, ":cat a", "ice"])
+
+    def read():
+        try:
+            return next(lines)
+        except StopIteration:
+            raise EOFError from None
+
+    session(engine, "docs", read, said.append)
+    assert said[0] == "top_k=1" and said[1].startswith("  1. ") and "matched=['ice']" in said[1] and said[2].startswith("usage: :k") and "unknown" in said[3] and "2000" in said[4] and said[6] == "  (no results)"
+
+
 def test_rules(engine):
     for bad in (dict(query=""), dict(query="x" * 2001), dict(query="x", top_k=0), dict(query="x", top_k=51), dict(query=None)):
         with pytest.raises(RequestError):
@@ -76,7 +108,7 @@ def test_envelope_and_meta(spark, tmp_path):
         C.read_envelope(spark, str(tmp_path / "e.json"))
     (tmp_path / "m.json").write_text('{"built_at": "x", "pages_crawled": 3, "junk": 1}')
     (tmp_path / "bad.json").write_text("{")
-    assert C.read_meta(spark, str(tmp_path / "m.json")) == {"built_at": "x", "pages_crawled": "3"}
+    assert C.read_meta(spark, str(tmp_path / "m.json")) == {"built_at": "x", "pages_crawled": 3}
     assert C.read_meta(spark, str(tmp_path / "bad.json")) == {} == C.read_meta(spark, str(tmp_path / "absent.json"))
     (tmp_path / "g.jsonl").write_text('{"query": "a"}\n\n{"query": "b", "expected_urls": ["u"]}\n')
     assert C.read_json_lines(spark, str(tmp_path / "g.jsonl"), "query string, expected_urls array<string>").count() == 2
