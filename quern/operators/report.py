@@ -45,7 +45,7 @@ def lines(evaluated: DataFrame, corpora: tuple[str, ...] = ()) -> DataFrame:
     Corpora that are named stand in the table without records too, with zeros.
     """
     groups = evaluation.by_group(evaluated, corpora)
-    gate = evaluation.gate(groups.filter("level = 0"))
+    gate = evaluation.gate(evaluation.overall(evaluated))  # zeros over nothing
     names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     order = F.create_map(*[x for i, k in enumerate(NAMES) for x in (F.lit(k), F.lit(str(i)))])
     verdict = F.format_string("| %s | %.3f | ≥ %.2f | %s |", names[F.col("metric")], "value", "bar", T.mark(F.col("value"), F.col("bar")))
