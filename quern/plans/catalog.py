@@ -250,7 +250,10 @@ def rank_multi_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.floor(F.col("query_id") / 4).cast("long").alias("query_id"), corpus_of.alias("corpus"), "rank", "pos", score())
 
 
-@query()
+@query(f"""{_TOP}, shown AS (SELECT {_SHOWN}, url, section, query FROM t JOIN c USING (pos) JOIN (SELECT query_id, query FROM q) USING (query_id) WHERE rank <= t.top_k)
+    SELECT query_id, '{{"query":' || to_json(any_value(query)) || ',"results":[' || string_agg('{{"rank":' || rank || ',"score":' || to_json(score) || ',"url":' || to_json(url) || ',"section":' || to_json(section)
+           || CASE WHEN matched IS NULL THEN '' ELSE ',"matched_tokens":' || to_json(string_split(matched, ' ')) END || '}}', ',' ORDER BY rank) || '],"corpus_meta":{{"source_host":"docs.example.org"}}}}' AS response
+    FROM shown GROUP BY query_id""")
 def snk_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = query_table(spark, sf_dir), stored_chunks(spark, sf_dir)
     rows = ranking.rank_all(asked, chunks).join(chunks.select("pos", "url", "section"), "pos").join(asked.select("query_id", "query"), "query_id")
@@ -480,7 +483,9 @@ def flt_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_sections(pages).select("url", "section", "body")
 
 
-@query()
+@query(f"""WITH a AS (SELECT url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*') AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages),
+    kept AS (SELECT *, replace(href, '&amp;', '&') AS path FROM a WHERE starts_with(href, '/') AND NOT ({' OR '.join(f"starts_with(href, '{m}')" for m in U.MACHINERY)}))
+    SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY i) - 1 AS INTEGER) AS place, site || path AS link FROM kept""")
 def gen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_links(table(spark, sf_dir, "pages"))
 
@@ -722,9 +727,17 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.concat(i.cast("string"), F.lit("-review.md")).alias("path"), F.concat_ws("\n", *lines).alias("value"))
 
 
-@query()
+@query("""WITH x AS (SELECT *, item_id % 7 = 0 AS blank FROM benchmark)
+    SELECT CAST(item_id AS INTEGER) AS row_index, 'q' || item_id AS query, 'left' AS labeled_corpus, item_id || '-review.md' AS review_file, CASE WHEN NOT blank THEN ['correct', 'partial', 'INVALID:odd'][item_id % 3 + 1] END AS left_r1,
+           CASE WHEN NOT blank THEN 1 ELSE 0 END AS n_verdicts, CASE WHEN NOT blank THEN nullif(['wrong', '', 'correct', 'partial'][item_id % 4 + 1], '') END AS overall_verdict, CASE WHEN NOT blank THEN nullif(['keep', 'redirect-to-right', ''][item_id % 3 + 1], '') END AS routing,
+           CASE WHEN blank THEN '' ELSE 'https://h.example/p' END AS urls, CASE WHEN blank THEN '' ELSE concat_ws('|', nullif(['S', '', 'T'][item_id % 3 + 1], ''), CASE WHEN item_id % 2 = 0 THEN 'part-1' END) END AS sections, blank AS incomplete FROM x""")
 def src_review_md(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.parse(forms(spark, sf_dir), _CORPORA)
+    rows, truth = review.parse(forms(spark, sf_dir), _CORPORA), F.col("human_truth")
+    many = F.aggregate(F.map_values("verdicts"), F.lit(0), lambda n, v: n + F.size(v))
+    return rows.select(
+        "row_index", "query", "labeled_corpus", "review_file", F.col("verdicts")["left"]["r1"].alias("left_r1"), many.alias("n_verdicts"), "overall_verdict", "routing",
+        F.array_join(truth["urls"], "|").alias("urls"), F.array_join(truth["sections"], "|").alias("sections"), "incomplete",
+    )
 
 
 @query("""SELECT CAST(item_id AS INTEGER) AS row_index, 'q' || item_id AS query, CASE WHEN item_id % 2 = 0 THEN 'left' ELSE 'right' END AS labeled_corpus, true AS incomplete, 0 AS verdicts FROM benchmark""")
