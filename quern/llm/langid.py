@@ -3,7 +3,8 @@
 A word's script narrows its candidates to the languages that are written in it (to all
 where none is); hashed character trigrams, word ends included, score each candidate; Viterbi over
 the words, with a penalty for each switch, labels spans. A document's language is
-the one whose spans have most letters.
+the one whose spans have most letters; its score is their share of all letters, times
+the logistic of how far it leads the next language on the words of those spans.
 
 The Viterbi search runs over segments of words, each for every language that it
 may be entered in, so that numpy takes a step of all segments at once and a very
@@ -33,7 +34,7 @@ BUCKETS = 1 << 16
 #: Labelled rows that a model is fitted on: a bounded sample by the hash of the key.
 SAMPLE_ROWS = 20_000
 SWITCH_PENALTY = 12.0
-#: What a language that a word's script excludes loses on it in the score of the whole text.
+#: What a language that a word's script excludes loses on it where languages are compared over spans.
 FOREIGN_SCRIPT = 60.0
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.01
@@ -142,11 +143,12 @@ def detect(model: Model, texts: list[str], spans: bool = False) -> tuple[list[st
     score = np.where(narrowed, score, np.minimum(score, 0) - np.float32(FOREIGN_SCRIPT))
     of = np.repeat(np.arange(len(texts)), np.diff(words))
     share = np.bincount(of * k + label, weights=size, minlength=len(texts) * k).reshape(-1, k)
-    whole = np.stack([np.bincount(of, weights=score[:, c], minlength=len(texts)) for c in range(k)], axis=1)
     best, rows = share.argmax(axis=1), np.arange(len(texts))
-    rest = whole.copy()
+    mine = label == best[of]
+    spanned = np.stack([np.bincount(of[mine], weights=score[mine, c], minlength=len(texts)) for c in range(k)], axis=1)
+    rest = spanned.copy()
     rest[rows, best] = -np.inf
-    margin = np.clip(whole[rows, best] - rest.max(axis=1), -50, 50)
+    margin = np.clip(spanned[rows, best] - rest.max(axis=1), -50, 50)
     total = share.sum(axis=1)
     found = np.where(total > 0, share[rows, best] / np.maximum(total, 1) / (1 + np.exp(-margin)), 0.0)
     langs = [model.langs[b] if n else UNKNOWN for b, n in zip(best, total)]

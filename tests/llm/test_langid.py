@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quern.llm import chars, langid
 from quern.llm.common import crc32_is
 
@@ -121,19 +122,20 @@ def plain_detect(rows, text):
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", text)]
     if not words:
         return "und", 0.0
-    grams, table, whole = dict(trigrams(text)), [], np.zeros(len(langs))
+    grams, table, compared = dict(trigrams(text)), [], []
     for a, b in words:
         score = np.array([sum(math.log((counts[x][grams[i]] + 0.1) / total[x]) for i in range(a, b)) for x in langs])
         may = np.array([letters[x][script(text[a])] >= langid.SCRIPT_SHARE * max(1, sum(letters[x].values())) for x in langs])
         may = may if may.any() else np.ones(len(langs), bool)
         score -= score[may].max()
         table.append(np.where(may, score, -np.inf))
-        whole += np.where(may, score, np.minimum(score, 0) - langid.FOREIGN_SCRIPT)
-    share = np.zeros(len(langs))
-    for (a, b), label in zip(words, plain_viterbi(np.array(table), langid.SWITCH_PENALTY)):
+        compared.append(np.where(may, score, np.minimum(score, 0) - langid.FOREIGN_SCRIPT))
+    share, path = np.zeros(len(langs)), plain_viterbi(np.array(table), langid.SWITCH_PENALTY)
+    for (a, b), label in zip(words, path):
         share[label] += b - a
     best = int(share.argmax())
-    margin = min(50, max(-50, whole[best] - max(np.delete(whole, best), default=-np.inf)))
+    own = sum(s for s, label in zip(compared, path) if label == best)
+    margin = min(50, max(-50, own[best] - max(np.delete(own, best), default=-np.inf)))
     return langs[best], share[best] / share.sum() / (1 + math.exp(-margin))
 
 
@@ -148,6 +150,17 @@ def test_against_the_plain_form(spark):
         assert lang == want and score == pytest.approx(sure, abs=2e-3), text
 
 
+def test_score_follows_the_share(spark, model):
+    """However strange a minority's words are to the main language, the score falls with its share only."""
+    words = {r["lang"]: r["text"].split()[:400] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars between 4000 and 9000").orderBy("doc_id").select("lang", "text").collect()}
+    langs = sorted(words)
+    for first, second in [(a, b) for a in langs for b in langs if a != b]:
+        lang, score, _ = langid.detect(model, [" ".join(words[first][:240] + words[second][:110])])
+        assert lang == [first] and 0.55 < score[0] < 0.8
+    shuffled = [words[langs[i % 4]][i // 4] for i in range(400)]
+    assert langid.detect(model, [" ".join(shuffled)])[1][0] < corpus_pipeline.LEAST_LANGUAGE_SCORE
+
+
 def test_a_script_excludes(spark):
     """However many Latin words stand around it, a Cyrillic word is not labelled with a language written in Latin letters only."""
     rows = spark.createDataFrame([(1, "мама мыла раму", "ru"), (2, "the cat sat on the mat", "en")], "doc_id long, text string, lang string")
