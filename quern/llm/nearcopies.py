@@ -31,7 +31,6 @@ from quern.llm.components import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-SKETCH = 1024
 #: About as many classes and hashes of a key are a block; a key with more has several blocks.
 BLOCK_CLASSES, BLOCK_HASHES = 1_024, 1 << 19
 _STEP = 4_096
@@ -67,22 +66,6 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The upper halves of the SKETCH smallest hashes, ascending and distinct. The stage decides by whole sets; no pair is decided by this."""
-    return np.unique((hashes[:SKETCH] >> np.uint64(32)).astype(np.uint32))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets from their sketches: exact for fewer than SKETCH hashes each but for a chance clash of halves."""
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) > SKETCH - 8:  # one may be cut, even if halves clashed in it
-        union = union[: max(len(a), len(b))]
-    if not len(union):
-        return 1.0
-    both = np.intersect1d(a, b, assume_unique=True)
-    return np.searchsorted(both, union[-1], "right") / len(union)
-
-
 def _digested(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc, fp, cls, size, keys): fingerprint, digest and size of the shingle set, and band keys of each document."""
 
@@ -214,7 +197,7 @@ def group_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
 def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df``, all columns kept, of which each group of near copies has one: that of the least key.
 
-    Of rows with one and the same key, the first by text stays; rows without a key all stay.
+    Of rows with one and the same key, the one whose text has the least hash stays; rows without a key all stay.
     """
     gone = connected_components(group_links(df, key, text, least)).select(F.col("node").alias("__gone"))
     rest = df.join(gone, F.col(key) == F.col("__gone"), "left_anti")

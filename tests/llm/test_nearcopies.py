@@ -2,7 +2,6 @@ import itertools
 import random
 
 import numpy as np
-import pytest
 
 from quern.llm import nearcopies, simhash
 
@@ -31,21 +30,6 @@ def test_shingles():
     assert np.array_equal(nearcopies.shingles("A b\nC d E"), nearcopies.shingles("a b c d e"))
 
 
-def test_similarity_is_exact_for_small_sets():
-    rng = random.Random(1)
-    for _ in range(200):
-        a, b = (np.unique(np.array(rng.sample(range(300), rng.randint(0, 200)), np.uint32)) for _ in range(2))
-        x, y = set(a.tolist()), set(b.tolist())
-        assert nearcopies.similarity(a, b) == pytest.approx(len(x & y) / len(x | y) if x | y else 1)
-
-
-def test_similarity_of_large_sets_is_near():
-    rng = np.random.default_rng(2)
-    both, one, two = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (8000, 1000, 1000))
-    a, b = (nearcopies.sketch(np.unique(np.concatenate([both, x]) * np.uint64(2))) for x in (one, two))
-    assert abs(nearcopies.similarity(a, b) - 0.8) < 0.08
-
-
 def test_edits_are_found(spark):
     rng = random.Random(3)
     texts = {}
