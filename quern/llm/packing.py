@@ -40,19 +40,17 @@ OPEN_BINS = 1_024
 LOOK_AHEAD = 1_024
 #: Tokens that one packing task takes; its last open bins are all that it can waste.
 TASK_TOKENS = 40_000_000
-#: Distinct words whose ids a worker keeps; beyond it the table starts anew.
+#: Distinct words and parts of words whose ids a worker keeps; beyond it the table starts anew.
 WORDS_KEPT = 600_000
-#: The same for parts of words, which are asked for only when a word is new.
-PARTS_KEPT = 300_000
 END = np.array([0], "<u4").tobytes()
 
 
 class Words:
     """Ids of texts by a tokenizer that lower-cases, drops white space and splits at ``PATTERN``: each distinct part is encoded once.
 
-    Words are parted at spaces and line feeds only, which no token, composition or pattern of the tokenizer spans.
     Where a text has plain characters and no special token only, lower-casing and splitting it here is what the tokenizer would do, so
-    forms of one word share their entry; else words go to the tokenizer as they are.
+    forms of one word share their entry. Else words go to the tokenizer as they are, parted at spaces and line feeds only, which no
+    token, composition or pattern of the tokenizer spans.
     """
 
     word = re.compile("[^ \n]+")
@@ -68,9 +66,8 @@ class Words:
         #: the same model for parts that are already lower-cased and split
         self.of_parts = Tokenizer(self.library.model)
         self.of_parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: ids of words of plain texts and of others: a lower-cased word may look like a special token
+        #: ids of parts of plain texts, and of words of others
         self.kept: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-        self.parts: dict[str, bytes] = {}
 
     @staticmethod
     def _encode(library: Tokenizer, distinct: list[str], into: dict[str, bytes]) -> None:
@@ -79,17 +76,6 @@ class Words:
             ids = got.ids
             into[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
 
-    def _learn(self, plain: list[str], other: list[str]) -> None:
-        self._encode(self.library, other, self.kept[1])
-        split = list(map(self.part.findall, plain))
-        new = {p for own in split for p in own if p not in self.parts}
-        if len(self.parts) + len(new) > PARTS_KEPT:
-            self.parts, new = {}, {p for own in split for p in own}
-        self._encode(self.of_parts, list(new), self.parts)
-        table = self.parts
-        for word, own in zip(plain, split):
-            self.kept[0][word] = b"".join([table[p] for p in own])
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
@@ -98,14 +84,14 @@ class Words:
             distinct: tuple[set[str], set[str]] = set(), set()
             for text in texts[a:b]:
                 odd = bool(self.odd.search(text))
-                words.append((odd, self.word.findall(text if odd else text.lower())))
+                words.append((odd, self.word.findall(text) if odd else self.part.findall(text.lower())))
                 distinct[odd].update(words[-1][1])
             new = [[w for w in d if w not in kept] for d, kept in zip(distinct, self.kept)]
             if sum(map(len, (*self.kept, *new))) > WORDS_KEPT:
                 self.kept, new = ({}, {}), [list(d) for d in distinct]
-            self._learn(*new)
-            kept = self.kept
-            out += [b"".join([kept[odd][w] for w in own]) for odd, own in words]
+            for library, some, kept in zip((self.of_parts, self.library), new, self.kept):
+                self._encode(library, some, kept)
+            out += [b"".join(map(self.kept[odd].__getitem__, own)) for odd, own in words]
         return out
 
 
