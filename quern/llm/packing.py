@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,13 +40,34 @@ OPEN_BINS = 1_024
 LOOK_AHEAD = 1_024
 #: Tokens that one packing task takes; its last open bins are all that it can waste.
 TASK_TOKENS = 40_000_000
-#: Distinct words and parts of words whose ids a worker keeps; beyond it the table starts anew.
-WORDS_KEPT = 600_000
+#: Distinct words in a worker's table of ids; it keeps this and the one that was full before.
+WORDS_KEPT = 300_000
+#: Characters whose words are looked up together, unless one text alone is longer, and new parts of words encoded by one call.
+BLOCK_CHARS = 3_000_000
+PARTS_AT_ONCE = 1_000
 END = np.array([0], "<u4").tobytes()
 
 
+class Recent:
+    """Ids of the words met of late: a full table becomes the older one, whose words come back as they are met again."""
+
+    def __init__(self, learn: Callable[[list[str], Recent], dict[str, bytes]]) -> None:
+        self.learn, self.kept, self.older = learn, {}, {}
+
+    def get(self, word: str) -> bytes | None:
+        return self.kept.get(word, self.older.get(word))
+
+    def ids(self, distinct: list[str]) -> list[bytes]:
+        new = [w for w in distinct if w not in self.kept]
+        if len(self.kept) + len(new) > WORDS_KEPT:
+            self.kept, self.older, new = {}, self.kept, distinct
+        self.kept.update({w: self.older[w] for w in new if w in self.older})
+        self.kept.update(self.learn([w for w in new if w not in self.older], self))
+        return list(map(self.kept.__getitem__, distinct))
+
+
 class Words:
-    """Ids of texts by a tokenizer that lower-cases, drops white space and splits at ``PATTERN``: each distinct part is encoded once.
+    """Ids of texts by a tokenizer that lower-cases, drops white space, splits into parts and marks a part's last token: each distinct word is encoded once.
 
     Where a text has plain characters and no special token only, lower-casing and splitting it here is what the tokenizer would do, so
     forms of one word share their entry. Else words go to the tokenizer as they are, parted at spaces and line feeds only, which no
@@ -54,44 +75,77 @@ class Words:
     """
 
     word = re.compile("[^ \n]+")
-    #: anything but ASCII text and composed Latin letters, and the one such letter that lower-cases to two characters
-    other = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u017f]|\u0130")
+    #: ASCII text and composed Latin letters, but for the one such letter that lower-cases to two characters
+    plain = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]*")
     part = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        #: texts for the tokenizer itself: with characters beyond plain ones, or with the strings of its special tokens, which it finds
-        self.odd = re.compile("|".join([self.other.pattern, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())]))
-        #: the same model for parts that are already lower-cased and split
+        #: strings that the tokenizer finds in a text before all else
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: the same model for parts that are already lower-cased and split, with a space after each
         self.of_parts = Tokenizer(self.library.model)
-        self.of_parts.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: ids of parts of plain texts, and of words of others
-        self.kept: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
-
-    @staticmethod
-    def _encode(library: Tokenizer, distinct: list[str], into: dict[str, bytes]) -> None:
-        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
-        for word, got in zip(distinct, library.encode_batch_fast(distinct, add_special_tokens=False)):
-            ids = got.ids
-            into[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        #: by id: does the token end a part?
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.library.model.end_of_word_suffix)]] = True
+        self.plain_words, self.odd_words = Recent(self._learn_plain), Recent(self._learn_odd)
+
+    def _learn_odd(self, words: list[str], known: Recent) -> dict[str, bytes]:
+        return {w: np.array(got.ids, "<u4").tobytes() for w, got in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False))}
+
+    def _learn_plain(self, words: list[str], known: Recent) -> dict[str, bytes]:
+        """Ids of the words and of their parts that were not known; a word of letters alone is one part."""
+        split = {w: self.part.findall(w) for w in words if not w.isalpha()}
+        parts = set().union(*split.values())
+        found = {p: ids for p in parts if (ids := known.get(p)) is not None}
+        parts.update(w for w in words if w not in split)
+        new = [p for p in parts if p not in found]
+        for at in range(0, len(new), PARTS_AT_ONCE):
+            some = new[at : at + PARTS_AT_ONCE]
+            ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not mark the last token of each part")
+            raw = ids.tobytes()
+            found.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        found.update({w: b"".join([found[p] for p in own]) for w, own in split.items()})
+        return found
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        words = split.flatten().dictionary_encode()
+        known = self.plain_words.ids(words.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(lengths) - lengths
+        which = words.indices.to_numpy()
+        counts = lengths[which]
+        until = np.concatenate([[0], np.cumsum(counts)])
+        places = np.repeat(starts[which] - until[:-1], counts)
+        places += np.arange(until[-1])
+        raw = np.frombuffer(b"".join(known), "<u4")[places].tobytes()
+        bounds = (until[split.offsets.to_numpy()] * 4).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _encode_odd(self, texts: list[str]) -> list[bytes]:
+        split = list(map(self.word.findall, texts))
+        distinct = list({w for own in split for w in own})
+        known = dict(zip(distinct, self.odd_words.ids(distinct)))
+        return [b"".join([known[w] for w in own]) for own in split]
+
+    def is_plain(self, text: str) -> bool:
+        return self.plain.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for a, b in blocks(texts):
-            words: list[tuple[bool, list[str]]] = []
-            distinct: tuple[set[str], set[str]] = set(), set()
-            for text in texts[a:b]:
-                odd = bool(self.odd.search(text))
-                words.append((odd, self.word.findall(text) if odd else self.part.findall(text.lower())))
-                distinct[odd].update(words[-1][1])
-            new = [[w for w in d if w not in kept] for d, kept in zip(distinct, self.kept)]
-            if sum(map(len, (*self.kept, *new))) > WORDS_KEPT:
-                self.kept, new = ({}, {}), [list(d) for d in distinct]
-            for library, some, kept in zip((self.of_parts, self.library), new, self.kept):
-                self._encode(library, some, kept)
-            out += [b"".join(map(self.kept[odd].__getitem__, own)) for odd, own in words]
+        out: list[bytes] = []
+        for a, b in blocks(texts, BLOCK_CHARS):
+            some = texts[a:b]
+            plain = list(map(self.is_plain, some))
+            ids = {True: iter(self._encode_plain([t for t, p in zip(some, plain) if p])), False: iter(self._encode_odd([t for t, p in zip(some, plain) if not p]))}
+            out += [next(ids[p]) for p in plain]
         return out
 
 
