@@ -147,3 +147,16 @@ def test_strictly_online(spark):
     found = spark.createDataFrame([(i, n) for i, n in enumerate([10, 2048, 30, 2000])], "doc_id long, length long")
     rows = sorted(packing.place(found, ahead=1).collect(), key=lambda r: r["doc_id"])
     assert [(r["sequence_id"], r["offset"]) for r in rows] == [(0, 0), (1, 0), (0, 10), (0, 40)]
+
+
+def test_words_beyond_the_table(monkeypatch):
+    """Tables that are full many times over, and words whose parts were met before or in the older table, change no id."""
+    monkeypatch.setattr(packing, "WORDS_KEPT", 20)
+    monkeypatch.setattr(packing, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(packing, "PARTS_AT_ONCE", 3)
+    words = ["Hello", "hello,", "world's", "x9y", "É", "straße,", "a_b", "...", "''s", "don't", "ſ", "日本", "ét", "İx", "_", "2²"]
+    texts = ["", " ", "\n\t"] + [" ".join(words[i % 16 :: 3] + [f"w{i}q", "tail."]) for i in range(60)] + [" ".join(words) * 5]
+    own, plain = packing.Words(PATH), Tokenizer.from_file(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(own.plain_words.kept) + len(own.odd_words.kept) <= 200
