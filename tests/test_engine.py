@@ -148,3 +148,16 @@ def test_streams_give_what_batches_give(spark, tmp_path):
         got = spark.table(name)
         keys = [c for c in want.columns if c not in ("total",)]
         assert {tuple(r) for r in want.select(*keys).collect()} == {tuple(r) for r in got.select(*keys).collect()}
+
+
+def test_small_numbers_of_a_response_are_written_out(spark):
+
+    numbers = [0.0009, -0.0003, 0.0001, 0.001, 0.0, -0.0, 1.0, -0.25, 0.000001, 1e-9]
+    rows = [(1, "q é\"", i, x, 'u"\n', None if i % 2 else ["a", "b"]) for i, x in enumerate(numbers)] + [(2, None, 0, None, None, None)]
+    results = spark.createDataFrame(rows, "query_id long, query string, rank int, score double, url string, matched array<string>")
+    got = dict(map(tuple, C.response(results, {"host": "h"}).collect()))
+    said = ["0.0009", "-0.0003", "0.0001", "0.001", "0.0", "-0.0", "1.0", "-0.25", "0.000001", "1.0E-9"]
+    listed = ",".join(f'{{"rank":{i},"score":{x},"url":"u\\"\\n"' + ("" if i % 2 else ',"matched":["a","b"]') + "}" for i, x in enumerate(said))
+    assert got == {1: f'{{"query":"q é\\"","results":[{listed}],"corpus_meta":{{"host":"h"}}}}', 2: '{"results":[{"rank":0}],"corpus_meta":{"host":"h"}}'}
+    assert [r["score"] for r in json.loads(got[1])["results"]] == numbers
+    assert json.loads(C.response(results.limit(0).unionAll(results.filter("query_id = 2")), {}).first()["response"])["corpus_meta"] == {}
